@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 
 QUERIES = {
+    "op1_warc_chunked": warc.op1_warc_chunked,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
 ORACLES = {
+    "op1_warc_chunked": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
