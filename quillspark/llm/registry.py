@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import html_template, mixing, pii, warc
 
 QUERIES = {
     "op1_warc_chunked": warc.op1_warc_chunked,
+    "op6_pii_disclosure": pii.op6_pii_disclosure,
+    "op9_main_text": html_template.op9_main_text,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
