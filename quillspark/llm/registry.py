@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_template, mixing, pii, warc
+from . import html_template, mixing, pii, secrets, warc
 
 QUERIES = {
     "op1_warc_chunked": warc.op1_warc_chunked,
     "op6_pii_disclosure": pii.op6_pii_disclosure,
+    "op8_secret_ledger": secrets.op8_secret_ledger,
     "op9_main_text": html_template.op9_main_text,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
