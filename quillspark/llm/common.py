@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITMAP_BITS = 1 << 24
+BUCKET_BITS = 32768  # of Spark's bitmap functions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +48,28 @@ def spread(keyed: DataFrame, n: int, name: str = "_salt") -> DataFrame:
     return keyed.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def key_bitmap(keys: DataFrame, column: str) -> bytes:
+    """A bitmap of ``BITMAP_BITS`` bits, its proven size, with the CRC-32 of every key's string set.
+
+    It passes all of the keys and few others; what it passes is joined exactly afterwards."""
+    place = F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(BITMAP_BITS))
+    parts = (
+        keys.select(place.alias("place"))
+        .groupBy(F.floor(F.col("place") / BUCKET_BITS).cast("int").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BUCKET_BITS)).cast("long")).alias("bits"))
+        .collect()  # at most BITMAP_BITS / BUCKET_BITS rows of 4 KB
+    )
+    bitmap = bytearray(BITMAP_BITS // 8)
+    for part in parts:
+        bitmap[part["bucket"] * BUCKET_BITS // 8 : (part["bucket"] + 1) * BUCKET_BITS // 8] = part["bits"]
+    return bytes(bitmap)
+
+
+def in_bitmap(bitmap: bytes, key: str) -> int:
+    place = zlib.crc32(key.encode("utf-8", "surrogatepass")) & (BITMAP_BITS - 1)
+    return bitmap[place >> 3] >> (place & 7) & 1
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, any direction): ``(id, component)`` with the
     smallest id of each component, for ids that have an edge.
