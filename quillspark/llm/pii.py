@@ -25,20 +25,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salt, spread, table
+from .common import cut, in_bitmap, key_bitmap, salt, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term_removed", "term_generalised")
 WINDOW_CHARS = 400
-BITMAP_BITS = 1 << 24
-BUCKET_BITS = 32768  # of Spark's bitmap functions
 SALTS = 8
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -142,19 +139,7 @@ def find(docs: DataFrame, window_words: int, keep_text: bool) -> DataFrame:
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, n_term)``: in how many rows of ``docs(text)`` each of ``terms(term)`` occurs."""
-    place = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BITMAP_BITS))
-    parts = (
-        terms.select(place.alias("place"))
-        .groupBy(F.floor(F.col("place") / BUCKET_BITS).cast("int").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BUCKET_BITS)).cast("long")).alias("bits"))
-        .collect()  # at most BITMAP_BITS / BUCKET_BITS rows of 4 KB
-    )
-    bitmap = bytearray(BITMAP_BITS // 8)
-    for part in parts:
-        bitmap[part["bucket"] * BUCKET_BITS // 8 : (part["bucket"] + 1) * BUCKET_BITS // 8] = part["bits"]
-    if not parts:
-        return terms.select("term", F.lit(0).cast("long").alias("n_term")).limit(0)
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(terms, "term"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts, known = shared.value, {}, {}
@@ -164,10 +149,9 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 for term in set(TERM.findall(text.lower())):
                     hit = known.get(term)
                     if hit is None:
-                        place = zlib.crc32(term.encode("utf-8", "surrogatepass")) & (BITMAP_BITS - 1)
                         if len(known) > 200_000:
                             known.clear()
-                        hit = known[term] = bits[place >> 3] >> (place & 7) & 1
+                        hit = known[term] = in_bitmap(bits, term)
                     if hit:
                         counts[term] = counts.get(term, 0) + 1
             if len(counts) > 100_000:
@@ -185,9 +169,9 @@ def disclosures(found: DataFrame, docs: DataFrame, *, min_support: int = 3, min_
     pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_support), "pairs")
     held = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     counted = document_frequency(docs, pairs.select("term").distinct())
-    everything = found.agg(F.count("*").alias("n_all"))
-    bits = F.log2(F.col("n_pair").cast("double") * F.col("n_all") / (F.col("n_term").cast("double") * F.col("n_entity")))
-    scored = pairs.join(counted, "term").join(held, "entity").crossJoin(F.broadcast(everything)).withColumn("posterior", F.col("n_pair") / F.col("n_term")).withColumn("bits", bits)
+    n_all = found.count()
+    bits = F.log2(F.col("n_pair").cast("double") * F.lit(n_all) / (F.col("n_term").cast("double") * F.col("n_entity")))
+    scored = pairs.join(counted, "term").join(held, "entity").withColumn("posterior", F.col("n_pair") / F.col("n_term")).withColumn("bits", bits)
     return scored.where((F.col("posterior") >= generalise_at) & (F.col("bits") >= min_bits)).select(
         "entity", "term", F.when(F.col("posterior") >= remove_at, TERM_KINDS[0]).otherwise(TERM_KINDS[1]).alias("kind"), "posterior", "bits"
     )
