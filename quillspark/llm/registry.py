@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_template, mixing, near_dup, pii, secrets, url_filter, warc
+from . import decontaminate, html_template, mixing, near_dup, pii, quality, secrets, url_filter, warc
 
 QUERIES = {
     "op1_warc_chunked": warc.op1_warc_chunked,
     "op2_url_ratio": url_filter.op2_url_ratio,
     "op4_benchmark_leaks": decontaminate.op4_benchmark_leaks,
+    "op5_quality_kneser_ney": quality.op5_quality_kneser_ney,
     "op6_pii_disclosure": pii.op6_pii_disclosure,
     "op7_near_duplicates": near_dup.op7_near_duplicates,
     "op8_secret_ledger": secrets.op8_secret_ledger,
