@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_template, mixing, near_dup, pii, quality, secrets, url_filter, warc
+from . import cover_tree, decontaminate, html_template, mixing, near_dup, pii, quality, secrets, url_filter, warc
 
 QUERIES = {
     "op1_warc_chunked": warc.op1_warc_chunked,
     "op2_url_ratio": url_filter.op2_url_ratio,
+    "op3_cover_tree": cover_tree.op3_cover_tree,
     "op4_benchmark_leaks": decontaminate.op4_benchmark_leaks,
     "op5_quality_kneser_ney": quality.op5_quality_kneser_ney,
     "op6_pii_disclosure": pii.op6_pii_disclosure,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc_chunked": warc.ORACLE,
+    "op3_cover_tree": cover_tree.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
