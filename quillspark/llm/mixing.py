@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,9 +87,9 @@ def mix(
     shard_words: int = 4_000_000,
     seed: str = "mix",
 ) -> DataFrame:
-    """One row per document: (doc_id, size, source_size, target, taken, source, shard, quota)."""
+    """One row per document: (doc_id, size, source_size, target, taken, source, shard, quota, text_key)."""
     code = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), code.alias("code")), "sizes")
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), code.alias("code"), F.xxhash64(text_col).alias("text_key")), "sizes")
     wanted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     wanted = wanted.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
     quotas = cut(sainte_lague(wanted, [], "source", "target", "seats").select("source", "source_size", "target", F.col("quota").alias("source_quota")), "quotas")
@@ -126,12 +126,20 @@ def mix(
         return F.lit(block_words) * picked(block) + (at - block * block_words) * (picked(block + 1) - picked(block))
 
     taken = F.when(F.col("size") > 0, passes * F.col("size") + words(F.col("stop")) - words(start)).otherwise(0)
-    return lined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", "quota")
+    return lined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", "quota", "text_key")
 
 
-def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
-    from .common import table
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the mix takes words of, with ``size``, ``source_size``, ``target`` and ``taken``."""
+    found = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
+    one = ["size", "source_size", "target"]
+    found = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(*(F.first(c).alias(c) for c in one), F.max("taken").alias("taken")), "mix")
+    keyed = docs.drop(*one, "taken").withColumn("_text_key", F.xxhash64(text_col))
+    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_id"]) & (keyed["_text_key"] == found["_key"]))
+    return joined.drop("_text_key", "_id", "_key")
+
 
+def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

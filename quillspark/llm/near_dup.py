@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, in_bitmap, key_bitmap, table
@@ -230,5 +230,18 @@ def near_duplicates(
     return classes.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each class; of rows that repeat its id, one with the smallest text."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    left = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    if again.isEmpty():
+        return left
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first(), F.xxhash64(*(c for c in docs.columns)))
+    one = left.join(again, left[id_col] == again["_id"], "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return left.join(again, left[id_col] == again["_id"], "left_anti").unionByName(one)
+
+
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -109,11 +109,11 @@ def _loaded(path: str) -> np.ndarray:
 
 
 def perplexity(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(id, lang, nll, n)``: the sum of -ln P over the n characters of the whole text and its end."""
+    """``(id, lang, text_key, nll, n)``: the sum of -ln P over the n characters of the whole text and its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(model_path)
-        schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("nll", pa.float64()), ("n", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("nll", pa.float64()), ("n", pa.int64())])
         for batch in batches:
             sums, sizes = [], []
             for text in batch.column("text").to_pylist():
@@ -123,9 +123,9 @@ def perplexity(docs: DataFrame, model_path: str) -> DataFrame:
                     size += len(found)
                 sums.append(total)
                 sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("text_key"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], schema=schema)
 
-    return docs.select("id", "lang", "text").mapInArrow(run, "id long, lang string, nll double, n long")
+    return docs.select("id", "lang", "text_key", "text").mapInArrow(run, "id long, lang string, text_key long, nll double, n long")
 
 
 def quantiles(held: DataFrame, least_held: int) -> DataFrame:
@@ -141,9 +141,9 @@ def quantiles(held: DataFrame, least_held: int) -> DataFrame:
 def classify(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 12.0, prior_chars: int = 100, held_out: int = 10, least_held: int = 20
 ) -> DataFrame:
-    """One row per document: (doc_id, lang, perplexity, score, threshold, kept)."""
+    """One row per document: (doc_id, lang, text_key, perplexity, score, threshold, kept)."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key"))
     ids = cut(trusted_ids(labels).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(held_out)) == 0), "trusted")
     model = fit(cut(count_grams(trusted_texts(plain, ids.where("not held").select("id"))), "grams"))
     path = fresh_path(spark, "model")
@@ -160,9 +160,17 @@ def classify(
     joined = scored.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(languages, ["lang", "_salt"], "left")
     low, middle, high = limits
     score = (F.col("nll") + middle * prior_chars) / (F.col("n") + prior_chars)
-    judged = joined.select(F.col("id").alias("doc_id"), "lang", F.exp("mean").alias("perplexity"), score.alias("score"), (high + (high - low) * fence).alias("threshold"))
+    judged = joined.select(F.col("id").alias("doc_id"), "lang", "text_key", F.exp("mean").alias("perplexity"), score.alias("score"), (high + (high - low) * fence).alias("threshold"))
     return judged.withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rejected documents."""
+    judged = classify(docs, labels, id_col=id_col, text_col=text_col, **options)
+    gone = cut(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
+    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
+    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["_text_key"] == gone["_key"]), "left_anti").drop("_text_key")
+
+
 def op5_quality_kneser_ney(spark, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")

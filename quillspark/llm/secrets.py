@@ -146,6 +146,15 @@ def redact(text: Column, findings: Column) -> Column:
     return F.when(F.size(findings) > 0, clean).otherwise(text)
 
 
+def without_secrets(docs: DataFrame, ledger: Ledger, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """``docs`` with every finding in the text replaced; ``length_col`` follows the new text."""
+    found = with_findings(docs, ledger, text_col=text_col, **options).withColumn(text_col, redact(F.col(text_col), F.col("_findings")))
+    if length_col in docs.columns:
+        changed = F.size("_findings") > 0
+        found = found.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return found.select(*docs.columns)
+
+
 def op8_secret_ledger(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_findings(docs, Ledger(spark, fresh_path(spark, "ledger"))).select("doc_id", "_findings")
