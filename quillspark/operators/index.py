@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +63,7 @@ def stem_map(tokens: DataFrame, stemmer: Stemmer) -> DataFrame:
     if stemmer == "porter":
         return add_stem(tokens)
     if callable(stemmer):
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
-        @pandas_udf("string")
+        @F.pandas_udf("string")
         def apply(words: pd.Series) -> pd.Series:
             return words.map(stemmer)
 
