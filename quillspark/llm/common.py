@@ -39,6 +39,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``_row``, a struct of all columns, beside new ones: no name can clash with a column of ``rows``."""
+    return rows.select(F.struct("*").alias("_row"), *(c.alias(name) for name, c in columns.items()))
+
+
 def salt(rows: DataFrame, by: Column, n: int, name: str = "_salt") -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
 

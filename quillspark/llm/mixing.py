@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, packed, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -130,13 +130,13 @@ def mix(
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that the mix takes words of, with ``size``, ``source_size``, ``target`` and ``taken``."""
+    """The documents that the mix takes words of, with ``size``, ``source_size``, ``target`` and ``taken``,
+    which replace columns of these names. Of rows equal in id and text each gets the most that one of them has."""
     found = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
     one = ["size", "source_size", "target"]
     found = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(*(F.first(c).alias(c) for c in one), F.max("taken").alias("taken")), "mix")
-    keyed = docs.drop(*one, "taken").withColumn("_text_key", F.xxhash64(text_col))
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_id"]) & (keyed["_text_key"] == found["_key"]))
-    return joined.drop("_text_key", "_id", "_key")
+    keyed = packed(docs.drop(*one, "taken"), id=F.col(id_col), key=F.xxhash64(text_col))
+    return keyed.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("_row.*", *one, "taken")
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:

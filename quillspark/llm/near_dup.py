@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_bitmap, key_bitmap, table
+from .common import components, cut, in_bitmap, key_bitmap, packed, table
 from .shingles import mix64, shingles_of, words_by_text
 
 COUNTERS = 1 << 18
@@ -234,13 +234,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each class; of rows that repeat its id, one with the smallest text."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = cut(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    left = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    keyed = packed(docs, id=F.col(id_col), text=F.col(text_col))
+    left = keyed.join(gone, F.col("id") == F.col("_id"), "left_anti")
     again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
     if again.isEmpty():
-        return left
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first(), F.xxhash64(*(c for c in docs.columns)))
-    one = left.join(again, left[id_col] == again["_id"], "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return left.join(again, left[id_col] == again["_id"], "left_anti").unionByName(one)
+        return left.select("_row.*")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64("_row")))
+    one = left.join(again, F.col("id") == F.col("_id"), "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return left.join(again, F.col("id") == F.col("_id"), "left_anti").unionByName(one).select("_row.*")
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, spread, table
+from .common import cut, fresh_path, packed, spread, table
 
 BASE_KINDS = ("assign", "access", "hex")
 OPEN, SPLIT, CLOSE = "\x01", "\x02", "\x03"
@@ -124,12 +124,12 @@ def blob_of(text: Column) -> Column:
 
 
 def with_findings(docs: DataFrame, ledger: Ledger, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """``docs`` with ``_blob`` and ``_findings``, after extending the ledger by the docs' texts."""
+    """``(_row, text, findings)`` for every row of ``docs``, after extending the ledger by their texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ledger.extend(docs.select(blob_of(text).alias("blob"), text.alias("text")), rules, rule_version)
-    found = spread(ledger.findings(rule_version).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), SALTS)
-    paths = docs.withColumn("_blob", blob_of(text)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return paths.join(found, ["_blob", "_salt"], "left").drop("_salt").withColumn("_findings", F.coalesce("_findings", F.array().cast(FINDINGS)))
+    found = spread(ledger.findings(rule_version).select("blob", "findings"), SALTS)
+    paths = packed(docs, text=text, blob=blob_of(text), _salt=F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return paths.join(found, ["blob", "_salt"], "left").select("_row", "text", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def spans_string(findings: Column) -> Column:
@@ -148,17 +148,19 @@ def redact(text: Column, findings: Column) -> Column:
 
 def without_secrets(docs: DataFrame, ledger: Ledger, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with every finding in the text replaced; ``length_col`` follows the new text."""
-    found = with_findings(docs, ledger, text_col=text_col, **options).withColumn(text_col, redact(F.col(text_col), F.col("_findings")))
+    found = with_findings(docs, ledger, text_col=text_col, **options)
+    found = found.select("_row", F.size("findings") > 0, redact(F.col("text"), F.col("findings"))).toDF("_row", "changed", "clean")
+    changed, clean = F.col("changed"), F.col("clean")
+    new = {text_col: F.when(changed, clean).otherwise(F.col(f"_row.`{text_col}`"))}
     if length_col in docs.columns:
-        changed = F.size("_findings") > 0
-        found = found.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return found.select(*docs.columns)
+        new[length_col] = F.when(changed, F.length(clean).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"_row.`{length_col}`"))
+    return found.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_secret_ledger(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_findings(docs, Ledger(spark, fresh_path(spark, "ledger"))).select("doc_id", "_findings")
-    base = F.filter("_findings", lambda x: x["rank"] < len(BASE_KINDS))
-    of_kind = lambda kind: F.filter("_findings", lambda x: x["kind"] == kind)
+    found = with_findings(docs, Ledger(spark, fresh_path(spark, "ledger"))).select("_row.doc_id", "findings")
+    base = F.filter("findings", lambda x: x["rank"] < len(BASE_KINDS))
+    of_kind = lambda kind: F.filter("findings", lambda x: x["kind"] == kind)
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(spans_string(base).cast("binary"), 256).alias("base_sha256"), spans_string(F.col("_findings")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans_string(base).cast("binary"), 256).alias("base_sha256"), spans_string(F.col("findings")).alias("spans"))
