@@ -39,6 +39,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys``, a cut table of fixed-width columns, to be broadcast if it has at most ``rows`` rows; a larger
+    one is joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def packed(rows: DataFrame, **columns: Column) -> DataFrame:
     """``_row``, a struct of all columns, beside new ones: no name can clash with a column of ``rows``."""
     return rows.select(F.struct("*").alias("_row"), *(c.alias(name) for name, c in columns.items()))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, table
+from .common import cut, if_small, packed, table
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 15
@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """``docs`` without the documents that hold a benchmark item."""
     found = cut(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "leaks")
     keyed = packed(docs, id=F.col(id_col), key=F.xxhash64(text_col))
-    return keyed.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti").select("_row.*")
+    return keyed.join(if_small(found), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti").select("_row.*")
 
 
 def op4_benchmark_leaks(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_bitmap, key_bitmap, packed, table
+from .common import components, cut, if_small, in_bitmap, key_bitmap, packed, table
 from .shingles import mix64, shingles_of, words_by_text
 
 COUNTERS = 1 << 18
@@ -235,7 +235,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = cut(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
     keyed = packed(docs, id=F.col(id_col), text=F.col(text_col))
-    left = keyed.join(gone, F.col("id") == F.col("_id"), "left_anti")
+    left = keyed.join(if_small(gone), F.col("id") == F.col("_id"), "left_anti")
     again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
     if again.isEmpty():
         return left.select("_row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, in_bitmap, key_bitmap, packed, spread, table
+from .common import cut, fresh_path, if_small, in_bitmap, key_bitmap, packed, spread, table
 from .kn_model import BITS, CLASSES, ORDER, dense, discounts, grams
 
 SALTS = 8
@@ -169,7 +169,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     judged = classify(docs, labels, id_col=id_col, text_col=text_col, **options)
     gone = cut(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
     keyed = packed(docs, id=F.col(id_col), key=F.xxhash64(text_col))
-    return keyed.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti").select("_row.*")
+    return keyed.join(if_small(gone), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti").select("_row.*")
 
 
 def op5_quality_kneser_ney(spark, sf_dir: str) -> DataFrame:

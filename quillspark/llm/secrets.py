@@ -7,8 +7,8 @@ are joined back to every path (document) that ever held the blob.
 
 Spans come from JVM regular expressions: each match is wrapped in private marks, the marked text is
 split, and lengths add up to code-point positions. Texts are grouped by digest with partial
-aggregation, so a text shared by a third of all rows leaves each task once; the join back is
-salted and carries no text.
+aggregation, so a text shared by a third of all rows leaves each task once. The join back broadcasts
+the findings if they are at most BROADCAST_SPANS spans, else it is salted.
 
 Nulls and odd cases: a null text is an empty one; null ids are kept; repeated rows each get the
 findings; an empty table gives an empty result; other columns are ignored; the marks' own characters
@@ -27,6 +27,7 @@ from .common import cut, fresh_path, packed, spread, table
 BASE_KINDS = ("assign", "access", "hex")
 OPEN, SPLIT, CLOSE = "\x01", "\x02", "\x03"
 SALTS = 8
+BROADCAST_SPANS = 200_000
 
 
 @dataclass(frozen=True)
@@ -127,9 +128,15 @@ def with_findings(docs: DataFrame, ledger: Ledger, *, text_col: str = "text", ru
     """``(_row, text, findings)`` for every row of ``docs``, after extending the ledger by their texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ledger.extend(docs.select(blob_of(text).alias("blob"), text.alias("text")), rules, rule_version)
-    found = spread(ledger.findings(rule_version).select("blob", "findings"), SALTS)
-    paths = packed(docs, text=text, blob=blob_of(text), _salt=F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return paths.join(found, ["blob", "_salt"], "left").select("_row", "text", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    found = cut(ledger.findings(rule_version).select("blob", "findings"), "findings")
+    paths = packed(docs, text=text, blob=blob_of(text))
+    spans = found.agg(F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()[0]
+    if spans <= BROADCAST_SPANS:  # a row has a span at least, and a digest and spans have a fixed width
+        joined = paths.join(F.broadcast(found), "blob", "left")
+    else:
+        salted = paths.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread(found, SALTS), ["blob", "_salt"], "left")
+    return joined.select("_row", "text", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def spans_string(findings: Column) -> Column:
