@@ -75,7 +75,7 @@ def test_perplexity_against_the_definition(spark, judged):
     texts = [t for i, t, _ in rows if i is not None and i < 300 and i not in held]
     model = brute_model(texts)
     want = dict((i, t) for i, t, _ in rows)
-    for r in out[::37] + [r for r in out if r["doc_id"] in (1000, 2000, 2002)]:
+    for r in [r for r in out if r["doc_id"] in (1000, 2000, 2002, *range(0, 400, 40))]:
         assert r["perplexity"] == pytest.approx(model(want[r["doc_id"]] or ""), rel=1e-4)
 
 

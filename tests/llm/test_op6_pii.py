@@ -47,7 +47,7 @@ def docs(spark, rows):
 
 def test_disclosing_terms_go(spark):
     rows = [(i, f"the night clerk Zanzibor wrote to spy@home.org again number {i}") for i in range(5)]
-    rows += [(10 + i, f"the clerk wrote again about number {i} and nothing else") for i in range(600)]
+    rows += [(10_000 + i, f"the clerk wrote again about number {i} and nothing else") for i in range(1500)]
     rows += [(900, "Halfling seen near spy@home.org"), (901, "Halfling seen near spy@home.org"), (902, "halfling near spy@home.org"), (903, "a halfling alone"), (904, "halfling walks"), *((905 + i, "near here") for i in range(9))]
     rows += [(950, None), (None, "spy@home.org"), (0, rows[0][1])]
     out = pii.sanitise(docs(spark, rows), keep_text=True).collect()
@@ -55,7 +55,7 @@ def test_disclosing_terms_go(spark):
     by_id = {r["doc_id"]: r for r in out}
     kinds = lambda i: [(s["kind"], (dict(rows)[i] or "")[s["start"] : s["end"]]) for s in by_id[i]["spans"]]
     assert kinds(1) == [("email", "spy@home.org"), ("term_removed", "night"), ("term_removed", "Zanzibor"), ("term_removed", "to")]
-    assert kinds(900) == [("email", "spy@home.org"), ("term_generalised", "Halfling")] and kinds(903) == [] and kinds(950) == [] and kinds(10) == []
+    assert kinds(900) == [("email", "spy@home.org"), ("term_generalised", "Halfling")] and kinds(903) == [] and kinds(950) == [] and kinds(10_000) == []
     assert by_id[1]["text"] == "the  clerk  wrote  [EMAIL] again number 1" and by_id[950]["text"] == ""
     for r in out:
         base = brute(dict(rows).get(r["doc_id"]) or "") if r["doc_id"] is not None else brute("spy@home.org")
