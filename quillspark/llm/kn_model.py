@@ -81,4 +81,5 @@ def dense(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -
             table = (back.reshape(CLASSES, middle, 1) * lower.reshape(1, middle, CLASSES)).reshape(-1)
         table[keys] = p
         lower = table
-    return -np.log(np.maximum(lower, 1e-30))
+    np.maximum(lower, 1e-30, out=lower)  # in place: a task holds several of these tables
+    return np.negative(np.log(lower, out=lower), out=lower)

@@ -6,10 +6,17 @@ different ones is bounded. Counts are sharded by n-gram and joined order by orde
 counts with their context's totals, and with the probabilities of the order below, which come from
 continuation counts. Each document's perplexity is taken over its whole text.
 
-Held-out trusted documents give the quantiles of each language; a document is kept if its mean
+Held-out trusted documents give the quantiles of each language; a document can be kept if its mean
 -ln P is at most q75 + ``fence`` * (q75 - q25) of its language. For short texts the mean is drawn
 towards the language's median, as if ``prior_chars`` more characters had that mean.
 
+Labelled bad text (quality below 1 or toxic above 0) counts as well: two models are fitted to halves
+of it, and every document is compared with the half that it does not belong to. Its lean, the mean
+-ln P under the trusted model less that under the bad one, has the same kind of limit from the
+held-out trusted documents, and a document above either limit goes. With no bad text in one of the
+halves there is no lean. The fence is 1 + 4 / sqrt(n) times as wide for n held-out documents, as
+the quantiles of a few are uncertain.
+
 Trusted are documents whose labels all say quality 1 and toxic 0. Languages with fewer than
 ``least_held`` held-out documents, and documents without a language, use the quantiles of all. With
 no trusted documents every document is kept.
@@ -25,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, if_small, in_bitmap, key_bitmap, packed, spread, table
@@ -40,6 +47,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("id"))
 
 
+def bad_ids(labels: DataFrame) -> DataFrame:
+    bad = labels.where("doc_id is not null and (quality < 1 or toxic > 0)")
+    return bad.select(F.col("doc_id").cast("long").alias("id")).distinct()
+
+
+def half_of(column: str) -> Column:
+    """Which half of the bad text an id belongs to; a null id goes with the first."""
+    return F.coalesce(F.pmod(F.xxhash64(F.col(column), F.lit("half")), F.lit(2)), F.lit(0)).cast("int")
+
+
 def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of ``ids``; a bitmap keeps most others out of the shuffle."""
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(ids, "id"))
@@ -95,7 +112,7 @@ def fit(counts: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], MODEL)
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=3)
 def _loaded(path: str) -> np.ndarray:
     """The dense table of a written model, once per Python worker."""
     import pyarrow.dataset as ds
@@ -108,24 +125,28 @@ def _loaded(path: str) -> np.ndarray:
     return dense([(key[(k == i) & seen], p[(k == i) & seen], key[(k == i) & ~seen], gamma[(k == i) & ~seen]) for i in range(1, ORDER + 1)])
 
 
-def perplexity(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(id, lang, text_key, nll, n)``: the sum of -ln P over the n characters of the whole text and its end."""
+def perplexity(docs: DataFrame, model_path: str, bad_paths: tuple[str, str]) -> DataFrame:
+    """``(id, lang, text_key, nll, bad_nll, n)``: the sums of -ln P over the n characters of the whole text and its end,
+    under the trusted model and that of the other half of the bad text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(model_path)
-        schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("nll", pa.float64()), ("n", pa.int64())])
+        model, bad = _loaded(model_path), [_loaded(path) for path in bad_paths]
+        schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("nll", pa.float64()), ("bad_nll", pa.float64()), ("n", pa.int64())])
         for batch in batches:
-            sums, sizes = [], []
-            for text in batch.column("text").to_pylist():
-                total, size = 0.0, 0
+            sums, bad_sums, sizes = [], [], []
+            for text, half in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist()):
+                total, bad_total, size = 0.0, 0.0, 0
                 for found in grams(text):
                     total += float(model[found].sum(dtype=np.float64))
+                    bad_total += float(bad[1 - half][found].sum(dtype=np.float64))
                     size += len(found)
                 sums.append(total)
+                bad_sums.append(bad_total)
                 sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("text_key"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], schema=schema)
+            columns = [batch.column("id"), batch.column("lang"), batch.column("text_key"), pa.array(sums, pa.float64()), pa.array(bad_sums, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("id", "lang", "text_key", "text").mapInArrow(run, "id long, lang string, text_key long, nll double, n long")
+    return docs.select("id", "lang", "text_key", "text", half_of("id").alias("half")).mapInArrow(run, "id long, lang string, text_key long, nll double, bad_nll double, n long")
 
 
 def quantiles(held: DataFrame, least_held: int) -> DataFrame:
@@ -139,29 +160,49 @@ def quantiles(held: DataFrame, least_held: int) -> DataFrame:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 12.0, prior_chars: int = 100, held_out: int = 10, least_held: int = 20
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 3.0, prior_chars: int = 100, held_out: int = 10, least_held: int = 20
 ) -> DataFrame:
-    """One row per document: (doc_id, lang, text_key, perplexity, score, threshold, kept)."""
+    """One row per document: (doc_id, lang, text_key, perplexity, score, threshold, lean, lean_threshold, kept)."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key"))
     ids = cut(trusted_ids(labels).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(held_out)) == 0), "trusted")
-    model = fit(cut(count_grams(trusted_texts(plain, ids.where("not held").select("id"))), "grams"))
-    path = fresh_path(spark, "model")
-    model.write.parquet(path)
-    scored = cut(perplexity(plain, path), "scored").withColumn("mean", F.col("nll") / F.col("n"))
+    bad = cut(bad_ids(labels).withColumn("half", half_of("id")), "bad")
+
+    def fitted(of: DataFrame) -> str:
+        path = fresh_path(spark, "model")
+        fit(cut(count_grams(trusted_texts(plain, of.select("id"))), "grams")).write.parquet(path)
+        return path
+
+    paths = fitted(ids.where("not held")), (fitted(bad.where("half = 0")), fitted(bad.where("half = 1")))
+    scored = cut(perplexity(plain, *paths).withColumn("mean", F.col("nll") / F.col("n")).withColumn("lean", (F.col("nll") - F.col("bad_nll")) / F.col("n")), "scored")
     held = scored.join(ids.where("held"), "id", "left_semi")
-    found = cut(quantiles(held, least_held), "quantiles")
-    whole = found.where("lang is null").select("q25", "q50", "q75").first()
-    if whole is None:
-        limits = [F.lit(None).cast("double")] * 3
-    else:
-        limits = [F.coalesce(c, F.lit(whole[c])) for c in ("q25", "q50", "q75")]
-    languages = spread(found.where("lang is not null").select("lang", "q25", "q50", "q75"), SALTS)
+    names = ("q25", "q50", "q75", "whole")
+    found = quantiles(held.select("lang", "mean"), least_held)
+    leans = quantiles(held.select("lang", F.col("lean").alias("mean")), least_held).select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"lean_{c}") for c in names[:3]))
+    found = cut(found.join(leans, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang"), "quantiles")
+    names += tuple(f"lean_{c}" for c in names[:3])
+    whole = found.where("lang is null").first()
+    limits = [F.lit(None).cast("double") if whole is None else F.coalesce(c, F.lit(whole[c])) for c in names]
+    languages = spread(found.where("lang is not null"), SALTS)
     joined = scored.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(languages, ["lang", "_salt"], "left")
-    low, middle, high = limits
-    score = (F.col("nll") + middle * prior_chars) / (F.col("n") + prior_chars)
-    judged = joined.select(F.col("id").alias("doc_id"), "lang", "text_key", F.exp("mean").alias("perplexity"), score.alias("score"), (high + (high - low) * fence).alias("threshold"))
-    return judged.withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
+    low, middle, high, n_held, lean_low, lean_middle, lean_high = limits
+    wide = F.lit(fence) * (1 + 4 / F.sqrt(n_held))
+    drawn = lambda total, to: (total + to * prior_chars) / (F.col("n") + prior_chars)
+    judged = joined.select(
+        F.col("id").alias("doc_id"),
+        "lang",
+        "text_key",
+        F.exp("mean").alias("perplexity"),
+        drawn(F.col("nll"), middle).alias("score"),
+        (high + (high - low) * wide).alias("threshold"),
+        drawn(F.col("nll") - F.col("bad_nll"), lean_middle).alias("lean"),
+        (lean_high + (lean_high - lean_low) * wide).alias("lean_threshold"),
+        (F.col("n") == 1).alias("empty"),
+    )
+    over = F.col("score") > F.col("threshold")
+    if bad.select("half").distinct().count() == 2:
+        over |= F.col("lean") > F.col("lean_threshold")
+    return judged.withColumn("kept", F.coalesce(F.col("empty") | ~over, F.lit(True))).drop("empty")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
