@@ -37,25 +37,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, if_small, in_bitmap, key_bitmap, packed, table
-from .shingles import mix64, shingles_of, words_by_text
+from .shingles import _MIX, _STEP, mix64, shingles_of, words_by_text
 
 COUNTERS = 1 << 18
-POOL = 4096
-PIECE = 2048
+PIECE = 1024
 PAIRS_PER_TEXT = 2048
 
 
 class Sampler:
-    """Draws the consistent weighted samples; the random variates come from a fixed pool per sample."""
+    """Draws the consistent weighted samples; every (shingle, sample) has variates of its own, from its hash."""
 
     def __init__(self, samples: int, bands: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.samples, self.bands = samples, bands
-        self.r = rng.gamma(2.0, 1.0, (samples, POOL)).astype(np.float32).ravel()
-        self.log_c = np.log(rng.gamma(2.0, 1.0, (samples, POOL))).astype(np.float32).ravel()
-        self.beta = rng.random((samples, POOL)).astype(np.float32).ravel()
         self.odd = rng.integers(1 << 62, dtype=np.uint64, size=samples) * np.uint64(2) + np.uint64(1)
-        self.row = (np.arange(samples, dtype=np.uint64) * np.uint64(POOL))[None, :]
+
+    def variates(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), and beta ~ Uniform(0, 1), each keys x samples."""
+        first = keys[:, None] * self.odd[None, :]
+        first ^= first >> np.uint64(32)
+        first *= _STEP
+        first ^= first >> np.uint64(29)
+        second = first * _MIX
+        second ^= second >> np.uint64(32)
+        third = second * _STEP
+
+        def gamma(bits: np.ndarray) -> np.ndarray:
+            halves = bits.view(np.uint32).astype(np.float32)
+            halves += np.float32(0.5)
+            product = halves[:, 0::2] * halves[:, 1::2]
+            product *= np.float32(2.0**-64)
+            return np.maximum(-np.log(product), np.float32(1e-7))
+
+        beta = (third >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        return gamma(first), np.log(gamma(second)), beta
 
     def draw(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The band hashes of a set of ascending distinct keys with positive weights."""
@@ -65,11 +80,9 @@ class Sampler:
         column = np.arange(self.samples)
         for at in range(0, len(keys), PIECE):
             key = keys[at : at + PIECE]
-            place = ((key[:, None] * self.odd[None, :]) >> np.uint64(52)) + self.row
-            place = place.astype(np.int64)
-            r, beta = self.r[place], self.beta[place]
+            r, log_c, beta = self.variates(key)
             level = np.floor(logs[at : at + PIECE, None] / r + beta)
-            score = self.log_c[place] - r * (level - beta) - r
+            score = log_c - r * (level - beta) - r
             low = score.argmin(axis=0)
             found = score[low, column]
             better = found < best
