@@ -3,9 +3,8 @@
 Over the pages of a host, every token (an element by its path, or a text in its place) has an
 occurrence vector: how often it occurs in each page. Tokens with equal vectors form a class; classes
 with enough tokens and enough pages are valid, nest by the paths of their elements, and together
-are the host's template. What the template leaves open are its slots. The content slot is the
-deepest once-a-page element of the template that still holds nearly all of the changing text outside
-menus, adverts and the like; a page's main text is what fills that slot.
+are the host's template. What the template leaves open are its slots; a page's main text is what
+fills them outside menus, adverts and the like.
 
 Vectors are never gathered: a vector is carried as the sum of a hash of (page, count), which is a
 partial aggregate, so a host with a third of all pages needs no task of its own. The join of pages
@@ -13,8 +12,8 @@ to their host's template is salted, and pages travel as compressed blocks, not a
 
 Inside an ``article`` or ``main`` element nothing but menus, forms, scripts, adverts, comments and
 the like is removed, however often it repeats. Elsewhere text that the template holds (the same on
-most pages of the host) is removed. A host with fewer than ``min_pages`` pages, or a page without
-the slot, falls back to the page's article, or else to all its text outside menus and the like.
+most pages of the host) is removed. Of a page with an article that is taken first. A host with
+fewer than ``min_pages`` pages has no template: all text outside menus and the like stays.
 
 Nulls and odd cases: null or empty html gives an empty text; a null url has no host and falls
 back; pages may break off anywhere; repeated ids are separate pages; an empty table gives an empty
@@ -88,8 +87,8 @@ def tokens(pages: DataFrame) -> DataFrame:
     return pages.select("host", "page", "html").where("host <> ''").mapInArrow(run, "host string, page long, path string, text_key long, n long, chars long")
 
 
-def templates(tokens: DataFrame, host_pages: DataFrame, *, min_pages: int = 3, support_share: float = 0.5, min_tokens: int = 3, hold: float = 0.9) -> DataFrame:
-    """``(host, slot, template_texts)`` by host: the content slot's path, and the texts of the template."""
+def templates(tokens: DataFrame, host_pages: DataFrame, *, min_pages: int = 3, support_share: float = 0.5, min_tokens: int = 3) -> DataFrame:
+    """``(host, template_texts)``: the texts of each host's template."""
     by_token = tokens.groupBy("host", "path", "text_key").agg(
         F.count("*").alias("support"),
         F.sum("n").alias("total"),
@@ -102,31 +101,13 @@ def templates(tokens: DataFrame, host_pages: DataFrame, *, min_pages: int = 3, s
     frequent = by_token.where("often")
     valid = frequent.groupBy("host", "vector").agg(F.count("*").alias("members")).where(F.col("members") >= min_tokens)
     members = frequent.join(valid, ["host", "vector"], "left_semi")
-    once = members.where("text_key is null and total = support").select("host", F.col("path").alias("slot"))
-    changing = by_token.where("text_key is not null and not often").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    parts = F.split(F.col("path"), "/")
-    inside = changing.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("slot"))
-    inside = inside.groupBy("host", "slot").agg(F.sum("chars").alias("held"))
-    whole = changing.groupBy("host").agg(F.sum("chars").alias("whole"))
-    best = (
-        once.join(inside, ["host", "slot"])
-        .join(whole, "host")
-        .where(F.col("held") >= F.col("whole") * hold)
-        .groupBy("host")
-        .agg(F.max(F.struct(F.size(F.split("slot", "/")).alias("depth"), F.col("slot").alias("slot"))).alias("b"))
-        .select("host", F.col("b.slot").alias("slot"))
-    )
     # a template text occurs in at least half of its host's pages: no more of them than twice the texts of a page
     fixed = members.where("text_key is not null").groupBy("host").agg(F.collect_set("text_key").alias("template_texts"))
-    return best.join(fixed, "host", "full")
+    return fixed
 
 
-def main_blocks(found: list[Block], slot: str | None, template_texts: frozenset[int]) -> list[str]:
-    """The texts that fill the content slot, in page order."""
-    if slot:
-        inside = [b for b in found if b.path == slot or b.path.startswith(slot + "/")]
-        if any(not b.chrome for b in inside):
-            found = inside
+def main_blocks(found: list[Block], template_texts: frozenset[int]) -> list[str]:
+    """The texts of the page's article, or else those that fill the open slots, in page order."""
     clean = [b for b in found if not b.chrome]
     if any(b.article for b in clean):
         return [b.text for b in clean if b.article]
@@ -134,7 +115,7 @@ def main_blocks(found: list[Block], slot: str | None, template_texts: frozenset[
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, support_share: float = 0.5) -> DataFrame:
-    """One row per page: (page_id, url, text, n_chars, slot)."""
+    """One row per page: (page_id, url, text, n_chars)."""
     named = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"), F.xxhash64(id_col, url_col, html_col).alias("page")
     )
@@ -152,18 +133,17 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("slot", pa.string())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
         for batch in batches:
             texts = []
-            slots = batch.column("slot").to_pylist()
-            for packed, slot, fixed in zip(batch.column("packed"), slots, batch.column("template_texts").to_pylist()):
+            for packed, fixed in zip(batch.column("packed"), batch.column("template_texts").to_pylist()):
                 held = [Block(p, t, c, a, 0) for p, t, c, a in json.loads(unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))]
-                texts.append("\n\n".join(main_blocks(held, slot, frozenset(fixed or ()))))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), batch.column("slot")], schema=schema)
+                texts.append("\n\n".join(main_blocks(held, frozenset(fixed or ()))))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
     carried = named.mapInArrow(carry, "page_id long, url string, host string, page long, packed binary")
     joined = salt(carried, F.col("page"), SALTS).join(spread(found, SALTS), ["host", "_salt"], "left")
-    return joined.select("page_id", "url", "packed", "slot", "template_texts").mapInArrow(fill, "page_id long, url string, text string, n_chars long, slot string")
+    return joined.select("page_id", "url", "packed", "template_texts").mapInArrow(fill, "page_id long, url string, text string, n_chars long")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:
