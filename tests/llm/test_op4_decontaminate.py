@@ -84,3 +84,50 @@ def test_multi_index_finds_all_within_the_radius(spark):
         for f in flips:
             b ^= 1 << f
         assert any(((a ^ b) >> 8 * k & 255) in masks for k in range(8))
+
+
+def edited(words, rng):
+    """One kind of edit that leaves about nine tenths of the shingles."""
+    words, n = list(words), len(words)
+    kind = rng.choice(["head", "tail", "drop", "add", "replace", "halves", "longest"])
+    few = max(1, n // 12)
+    if kind == "head":
+        words[:few] = [f"h{i}" for i in range(few)]
+    elif kind == "tail":
+        words[-few:] = [f"t{i}" for i in range(few)]
+    elif kind == "drop":
+        del words[n // 2 : n // 2 + max(1, few // 2)]
+    elif kind == "add":
+        words[n // 3 : n // 3] = ["more"] * max(1, few // 2)
+    elif kind == "replace":
+        words[rng.randrange(n)] = "other"
+    elif kind == "halves":
+        words = words[n // 2 :] + words[: n // 2]
+    else:
+        for i in sorted(range(n), key=lambda i: -len(words[i]))[:1]:
+            words[i] = "x"
+    return words
+
+
+def test_recall_under_edits(spark):
+    rng = random.Random(9)
+    items = [" ".join(rng.choice(WORDS) for _ in range(rng.choice((30, 60, 61, 90, 150)))) for _ in range(40)]
+    # the longest words stand together at the head, and all of them are replaced
+    heads = [" ".join(["extraordinarily", "incomprehensible", "counterrevolution", "uncharacteristic", "internationalism"] + [rng.choice(WORDS) for _ in range(55)]) for _ in range(20)]
+    texts = [f"{filler(25)} {' '.join(edited(i.split(), rng))} {filler(25)}" for i in items for _ in range(8)]
+    texts += [f"{filler(9)} {' '.join(['q'] * 5 + i.split()[5:])} {filler(9)}" for i in heads]
+    texts += [" ".join(i.split()[: int(len(i.split()) * 0.84)]) for i in items]  # the document is a cut item
+    docs, bench = run(spark, texts, items + heads)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in dc.leaks(docs, bench).collect()}
+    source = [i for i in range(40) for _ in range(8)] + list(range(40, 60)) + list(range(40))
+    want = {(d, source[d]): s for d, t in enumerate(texts) if (s := brute(t, (items + heads)[source[d]])) >= 0.8}
+    assert len(want) > 150 and all((320 + i, 40 + i) in want for i in range(20))
+    found = sum(abs(got.get(k, 0) - s) < 1e-9 for k, s in want.items())
+    assert found >= 0.99 * len(want)
+
+
+def test_a_benchmark_that_is_not_broadcast(spark):
+    texts = [f"{filler(30)} {ITEMS[3]} {filler(5)} {ITEMS[1]}", "solo", filler(300), None]
+    docs, bench = run(spark, texts)
+    rows = lambda **o: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in dc.leaks(docs, bench, **o).collect())
+    assert rows() == rows(broadcast_bytes=0) and len(rows()) == 3
