@@ -1,64 +1,106 @@
-"""Interpolated modified Kneser-Ney character model: classes, counting, and the dense tables.
+"""Interpolated modified Kneser-Ney character model: n-grams of a text, discounts, and sorted tables to look them up.
 
-Characters fall into 64 classes of 6 bits, so a model of order 4 has at most 2^24 entries whatever
-the corpus: that is the proven size of what a scoring task holds (64 MB)."""
+Characters are what they are, in any script; only digits fall into one and so does white space. The
+number of different n-grams grows with the corpus, so the tables come in shards."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
-ORDER = 4
-BITS = 6
-CLASSES = 1 << BITS
-PAD, SPACE, BREAK, DIGIT, UPPER, OTHER, END = 0, 1, 2, 3, 13, 14, 63
+ORDER = 5
+START, END = "\x02", "\x03"
 SLICE = 1 << 20
+UNKNOWN = np.uint32(0xFFFD)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _classes() -> np.ndarray:
-    table = np.full(0x10000, OTHER, dtype=np.uint8)
-    for code in range(0x80, 0x10000):
-        char = chr(code)
-        if 0xD800 <= code < 0xE000:
-            continue
-        if char.isspace():
-            table[code] = SPACE
-        elif char.isupper():
-            table[code] = UPPER
-        elif char.isalpha():
-            table[code] = 61 + (code >> 6) % 2
-        elif char.isdigit():
-            table[code] = DIGIT
-    for chars, number in ((" ", SPACE), ("\t\n\v\f\r", BREAK), ("0123456789", DIGIT), (".", 4), (",", 5), (";:", 6), ("!?", 7), ("\"'‘’“”«»", 8), ("-–—", 9), ("()[]{}", 10), ("/\\|_", 11), ("@#$%^&*+=~`<>", 12)):
-        for char in chars:
-            table[ord(char)] = number
-    table[ord("A") : ord("Z") + 1] = UPPER
-    for i in range(26):
-        table[ord("a") + i] = 15 + i
-    for i, char in enumerate("äöüßéèêëàâçñóíúáîôûœ"):
-        table[ord(char)] = 41 + i
+def _characters() -> np.ndarray:
+    table = np.arange(0x110000, dtype=np.uint32)
+    table[0xD800:0xE000] = UNKNOWN
+    for code in range(0x110000):
+        if code < 0xD800 or code > 0xDFFF:
+            char = chr(code)
+            if char.isspace() or char in "\x00\x02\x03":
+                table[code] = ord(" ")
+            elif char.isdigit():
+                table[code] = ord("0")
     return table
 
 
-TABLE = _classes()
+CHARACTERS = _characters()
 
 
-def grams(text: str) -> Iterator[np.ndarray]:
-    """The text's n-grams of order ``ORDER`` as numbers, one per character and one for the end, in slices."""
-    past = np.zeros(ORDER - 1, dtype=np.int32)
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """The text's characters and its end, in pieces of at most ``SLICE`` that each begin with the ``ORDER - 1`` before."""
+    past = np.full(ORDER - 1, ord(START), dtype=np.uint32)
     for at in range(0, len(text) + 1, SLICE):
-        codes = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        found = TABLE[np.minimum(codes, 0xFFFF)].astype(np.int32)
+        codes = CHARACTERS[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         if at + SLICE > len(text):
-            found = np.append(found, np.int32(END))
-        line = np.concatenate((past, found))
-        total = np.zeros(len(found), dtype=np.int32)
-        for i in range(ORDER):
-            total = (total << BITS) | line[i : i + len(found)]
+            codes = np.append(codes, np.uint32(ord(END)))
+        line = np.concatenate((past, codes))
         past = line[len(line) - (ORDER - 1) :]
-        if len(total):
-            yield total
+        yield line
+
+
+def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(characters, owner, places): pieces of several texts in one line of about ``SLICE``, the places of the
+    characters that count, and the number of the text that each belongs to."""
+    lines: list[np.ndarray] = []
+    owners: list[int] = []
+    held = 0
+
+    def packed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(line) for line in lines])
+        begins = np.cumsum(sizes) - sizes
+        n = sizes - (ORDER - 1)
+        first = np.cumsum(n) - n
+        places = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(begins + ORDER - 1, n)
+        return np.concatenate(lines), np.repeat(np.array(owners), n), places
+
+    for i, text in enumerate(texts):
+        for line in pieces(text):
+            lines.append(line)
+            owners.append(i)
+            held += len(line)
+            if held >= SLICE:
+                yield packed()
+                lines, owners, held = [], [], 0
+    if lines:
+        yield packed()
+
+
+def keys(line: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the ``k`` characters that end at each place."""
+    found = np.full(len(places), k, dtype=np.uint64)
+    for j in range(k - 1, -1, -1):
+        found = found * _MIX + line[places - j].astype(np.uint64)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def gram_keys(grams: list[str], k: int) -> np.ndarray:
+    """The hashes of strings of ``k`` characters."""
+    if not k or not grams:
+        return np.full(len(grams), k, dtype=np.uint64)
+    line = np.frombuffer("".join(grams).encode("utf-32-le"), dtype=np.uint32)
+    return keys(line, np.arange(k - 1, len(line), k), k)
+
+
+def different(line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each different n-gram, number of the n-gram at each place)."""
+    codes, unique = pd.factorize(keys(line, places, ORDER))
+    first = np.empty(len(unique), dtype=np.int64)
+    first[codes[::-1]] = places[::-1]
+    return first, codes
+
+
+def strings(line: np.ndarray, places: np.ndarray) -> list[str]:
+    """The n-grams that end at ``places``."""
+    grams = np.ascontiguousarray(line[places[:, None] + np.arange(1 - ORDER, 1)[None, :]])
+    return grams.view(f"U{ORDER}").ravel().tolist()
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -68,18 +110,38 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))  # type: ignore[return-value]
 
 
-def dense(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """-ln P for every n-gram of order ``ORDER``, from each order's (keys, p, contexts, gamma)."""
-    lower = np.full(1, 1.0 / CLASSES, dtype=np.float32)
-    for k, (keys, p, contexts, gamma) in enumerate(levels, 1):
-        back = np.ones(CLASSES ** (k - 1), dtype=np.float32)
-        back[contexts] = gamma
-        if k == 1:
-            table = np.full(CLASSES, back[0] * lower[0], dtype=np.float32)
-        else:
-            middle = CLASSES ** (k - 2)
-            table = (back.reshape(CLASSES, middle, 1) * lower.reshape(1, middle, CLASSES)).reshape(-1)
-        table[keys] = p
-        lower = table
-    np.maximum(lower, 1e-30, out=lower)  # in place: a task holds several of these tables
-    return np.negative(np.log(lower, out=lower), out=lower)
+class Table:
+    """Sorted hashes and their values."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are here, the values of those)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        here = self.hashes[at] == hashes
+        return here, self.values[at[here]].astype(np.float64)
+
+
+class Model:
+    """One shard of a model: ln P of the n-grams seen of each order, ln of what a context leaves to the order below."""
+
+    def __init__(self, seen: list[Table], left: list[Table], floor: float):
+        self.seen, self.left, self.floor = seen, left, floor
+
+    def surprise(self, line: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """-ln P of the character at each place after its ``ORDER - 1`` predecessors."""
+        total, live = np.zeros(len(places)), np.arange(len(places))
+        for k in range(ORDER, 0, -1):
+            here, values = self.seen[k - 1].find(keys(line, places[live], k))
+            total[live[here]] -= values
+            live = live[~here]
+            if not len(live):
+                return total
+            here, values = self.left[k - 1].find(keys(line, places[live] - 1, k - 1))
+            total[live[here]] -= values
+        total[live] -= self.floor
+        return total

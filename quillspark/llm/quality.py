@@ -1,28 +1,35 @@
-"""Quality classifier by an interpolated modified Kneser-Ney model of trusted text (operator 5).
-
-The n-grams are of characters (64 classes, order 4; see ``kn_model``): their counts are gathered from
-all trusted documents but the held-out ones, so they grow with the corpus, while the number of
-different ones is bounded. Counts are sharded by n-gram and joined order by order: each order's
-counts with their context's totals, and with the probabilities of the order below, which come from
-continuation counts. Each document's perplexity is taken over its whole text.
-
-Held-out trusted documents give the quantiles of each language; a document can be kept if its mean
--ln P is at most q75 + ``fence`` * (q75 - q25) of its language. For short texts the mean is drawn
-towards the language's median, as if ``prior_chars`` more characters had that mean.
-
-Labelled bad text (quality below 1 or toxic above 0) counts as well: two models are fitted to halves
-of it, and every document is compared with the half that it does not belong to. Its lean, the mean
--ln P under the trusted model less that under the bad one, has the same kind of limit from the
-held-out trusted documents, and a document above either limit goes. With no bad text in one of the
-halves there is no lean. The fence is 1 + 4 / sqrt(n) times as wide for n held-out documents, as
-the quantiles of a few are uncertain.
-
-Trusted are documents whose labels all say quality 1 and toxic 0. Languages with fewer than
-``least_held`` held-out documents, and documents without a language, use the quantiles of all. With
-no trusted documents every document is kept.
+"""Quality classifier by interpolated modified Kneser-Ney models of trusted text (operator 5).
+
+The n-grams are of five characters (see ``kn_model``), counted over all labelled text. Counts are
+sharded by n-gram and joined order by order: each order's counts with their context's totals, and with
+the probabilities of the order below, which come from continuation counts. What comes out, the ln P of
+every n-gram seen and the weight that every context leaves to the order below, grows with the corpus
+and is written in ``shards`` by the character before the last, so that all that one position of a text
+looks up lies in one shard. Documents are joined with the shards one by one (a shard's size is bounded
+by ``SHARD_ROWS``, and is the build side of a hash join), and the partial sums of a document add up to
+its perplexity over its whole text. No text is shuffled for it.
+
+Trusted are documents whose labels all say quality 1 and toxic 0; bad ones have a label of quality 0
+or toxic 1. Each is fitted in two halves, and every document is compared with the models of the halves
+that it does not belong to; so all trusted documents are held out, and all of them set the thresholds:
+
+* score: the mean -ln P under the trusted model, for short texts drawn towards the language's median as
+  if ``prior_chars`` more characters had that mean;
+* lean: by how much characters are likelier in bad text than in trusted text, as far as that exceeds
+  1 nat; summed, less the language's mean, over its standard deviation for a text of n characters, as the
+  root of n + ``prior_chars`` + n^2 / ``even_chars``: chance evens out along a text, a text's own style does not.
+
+A document goes if one of them lies above the language's quantile of level ``1 - tail`` of trusted
+documents. Beyond the ninth decile the quantile follows the exponential tail fitted to what exceeds it
+(peaks over threshold), so a few documents give one too. A language's centre and spread are weighed
+n : ``prior_docs`` against those of all languages, n being its trusted documents; there is no step at
+which a language starts to count. A document without a language has n = 0.
+
+With no trusted or no bad text in one of the halves that score says nothing, and documents stay.
 
 Nulls and odd cases: a null text is an empty one, and kept; null ids have no label; rows that repeat
-an id are judged each; an empty table gives an empty result; other columns are ignored.
+an id are judged each; equal rows get equal results; a score equal to its threshold is kept; a long
+text is read in pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +39,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, if_small, in_bitmap, key_bitmap, packed, spread, table
-from .kn_model import BITS, CLASSES, ORDER, dense, discounts, grams
+from .common import cut, fresh_path, if_small, packed, spread, table
+from .kn_model import ORDER, Model, Table, different, discounts, gram_keys, slices, strings
 
 SALTS = 8
-MODEL = "k int, key int, p float, gamma float"
+SHARD_ROWS = 4_000_000
+GOOD, BAD = 0, 2  # the models of the first halves; the second halves' follow
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -53,156 +61,254 @@ def bad_ids(labels: DataFrame) -> DataFrame:
 
 
 def half_of(column: str) -> Column:
-    """Which half of the bad text an id belongs to; a null id goes with the first."""
+    """Which half an id belongs to; a null id goes with the first."""
     return F.coalesce(F.pmod(F.xxhash64(F.col(column), F.lit("half")), F.lit(2)), F.lit(0)).cast("int")
 
 
-def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ``ids``; a bitmap keeps most others out of the shuffle."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(ids, "id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.take(pa.array([i for i, x in enumerate(batch.column("id").to_pylist()) if x is not None and in_bitmap(bitmap.value, str(x))], pa.int64()))
-
-    return docs.select("id", "text").mapInArrow(run, "id long, text string").join(ids, "id", "left_semi")
-
-
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``(gram, n)`` over all of ``texts(text)``; a task holds at most one counter per n-gram."""
+    """``(model, gram, n)`` over all of ``texts(model, text)``; a task holds the different n-grams of one slice."""
+    schema = pa.schema([("model", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES**ORDER, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for found in grams(text):
-                    keys, n = np.unique(found, return_counts=True)
-                    counts[keys] += n
-        at = np.flatnonzero(counts)
-        schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], schema=schema)
+            models = np.array(batch.column("model").to_pylist(), dtype=np.int64)
+            texts = batch.column("text").to_pylist()
+            for model in np.unique(models):
+                for line, _, places in slices([texts[i] for i in np.flatnonzero(models == model)]):
+                    first, codes = different(line, places)
+                    counts = np.bincount(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), model, dtype=np.int32)), pa.array(strings(line, first), pa.string()), pa.array(counts)], schema=schema)
 
-    return texts.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("model", "text").mapInArrow(run, "model int, gram string, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame) -> DataFrame:
-    """``MODEL`` rows: P of each n-gram seen, and the weight gamma that its context leaves to the order below."""
-    spark = counts.sparkSession
-    levels = {ORDER: counts.select(F.col("gram").alias("key"), "n")}
+    """``(model, k, gram, p)`` and, with the context as gram and ``is_left``, the weight it leaves to the order below."""
+    levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters come before
-        levels[k] = levels[k + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("key")).agg(F.count("*").alias("n"))
+        levels[k] = levels[k + 1].groupBy("model", F.expr(f"right(gram, {k})").alias("gram")).agg(F.count("*").alias("n"))
     lower, found = None, None
     for k in range(1, ORDER + 1):
         level = cut(levels[k], "order")
-        of = level.agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5))).first()
-        d = discounts(*of)
-        taken = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        totals = level.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.sum(taken).alias("kept"))
-        totals = totals.select("context", "total", (F.col("kept") / F.col("total")).alias("gamma"))
-        joined = level.withColumn("context", F.shiftright("key", BITS)).join(totals, "context").withColumn("tail", F.col("key").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
-        joined = joined.withColumn("below", F.lit(1.0 / CLASSES)) if lower is None else joined.join(lower, "tail")
-        level = cut(joined.select("key", ((F.col("n") - taken) / F.col("total") + F.col("gamma") * F.col("below")).alias("p")), "order")
-        lower = level.select(F.col("key").alias("tail"), F.col("p").alias("below"))
-        rows = level.select(F.lit(k).alias("k"), "key", F.col("p").cast("float").alias("p"), F.lit(None).cast("float").alias("gamma")).unionByName(
-            totals.select(F.lit(k).alias("k"), F.col("context").alias("key"), F.lit(None).cast("float").alias("p"), F.col("gamma").cast("float").alias("gamma"))
+        of = level.groupBy("model").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("types")).collect()  # a row per model
+        d = {r["model"]: discounts(*(r[f"n{i}"] for i in range(1, 5))) for r in of}
+        by_model = lambda i: F.coalesce(*(F.when(F.col("model") == m, F.lit(x[i])) for m, x in d.items()), F.lit(0.5))  # noqa: E731, B023
+        taken = F.when(F.col("n") == 1, by_model(0)).when(F.col("n") == 2, by_model(1)).otherwise(by_model(2))
+        context = F.expr(f"left(gram, {k - 1})")
+        totals = level.groupBy("model", context.alias("context")).agg(F.sum("n").alias("total"), F.sum(taken).alias("kept"))
+        totals = totals.select("model", "context", "total", (F.col("kept") / F.col("total")).alias("left_over"))
+        joined = level.withColumn("context", context).withColumn("tail", F.expr(f"right(gram, {k - 1})")).join(totals, ["model", "context"])
+        if lower is None:
+            types = {r["model"]: r["types"] for r in of}
+            joined = joined.withColumn("below", F.coalesce(*(F.when(F.col("model") == m, F.lit(1.0 / (n + 1))) for m, n in types.items()), F.lit(1.0)))
+        else:
+            joined = joined.join(lower, ["model", "tail"])
+        p = (F.col("n") - taken) / F.col("total") + F.col("left_over") * F.col("below")
+        level = cut(joined.select("model", "gram", p.alias("p")), "order")
+        lower = level.select("model", F.col("gram").alias("tail"), F.col("p").alias("below"))
+        rows = level.select("model", F.lit(k).alias("k"), "gram", "p", F.lit(False).alias("is_left")).unionByName(
+            totals.select("model", F.lit(k).alias("k"), F.col("context").alias("gram"), F.col("left_over").alias("p"), F.lit(True).alias("is_left"))
         )
         found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else spark.createDataFrame([], MODEL)
+    return found
 
 
-@functools.lru_cache(maxsize=3)
-def _loaded(path: str) -> np.ndarray:
-    """The dense table of a written model, once per Python worker."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+def shard_of(n_shards: int) -> Column:
+    """By the character before the one that is looked up; order 1, which has none, goes with every shard (-1)."""
+    before = F.when(F.col("is_left"), F.expr("right(gram, 1)")).otherwise(F.expr("substring(gram, k - 1, 1)"))
+    return F.when(F.col("k") == 1, -1).otherwise(F.pmod(F.crc32(before.cast("binary")), F.lit(n_shards)).cast("int"))
 
-    system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    rows = ds.dataset(root, filesystem=system, format="parquet").to_table(columns=["k", "key", "p", "gamma"])
-    k, key, p, gamma = (rows[c].to_numpy() for c in ("k", "key", "p", "gamma"))
-    seen = ~np.isnan(p)
-    return dense([(key[(k == i) & seen], p[(k == i) & seen], key[(k == i) & ~seen], gamma[(k == i) & ~seen]) for i in range(1, ORDER + 1)])
 
+def _shards_of(line: np.ndarray, n_shards: int) -> np.ndarray:
+    import zlib
 
-def perplexity(docs: DataFrame, model_path: str, bad_paths: tuple[str, str]) -> DataFrame:
-    """``(id, lang, text_key, nll, bad_nll, n)``: the sums of -ln P over the n characters of the whole text and its end,
-    under the trusted model and that of the other half of the bad text."""
+    unique, codes = np.unique(line, return_inverse=True)
+    return np.array([zlib.crc32(chr(c).encode()) % n_shards for c in unique.tolist()], dtype=np.int64)[codes]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bad = _loaded(model_path), [_loaded(path) for path in bad_paths]
-        schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("nll", pa.float64()), ("bad_nll", pa.float64()), ("n", pa.int64())])
-        for batch in batches:
-            sums, bad_sums, sizes = [], [], []
-            for text, half in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist()):
-                total, bad_total, size = 0.0, 0.0, 0
-                for found in grams(text):
-                    total += float(model[found].sum(dtype=np.float64))
-                    bad_total += float(bad[1 - half][found].sum(dtype=np.float64))
-                    size += len(found)
-                sums.append(total)
-                bad_sums.append(bad_total)
-                sizes.append(size)
-            columns = [batch.column("id"), batch.column("lang"), batch.column("text_key"), pa.array(sums, pa.float64()), pa.array(bad_sums, pa.float64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return docs.select("id", "lang", "text_key", "text", half_of("id").alias("half")).mapInArrow(run, "id long, lang string, text_key long, nll double, bad_nll double, n long")
-
-
-def quantiles(held: DataFrame, least_held: int) -> DataFrame:
-    """``(lang, q25, q50, q75)`` of ``held(lang, mean)``, and the same of all at a null ``lang``; in steps of 0.001."""
-    bins = held.withColumn("bin", F.round(F.col("mean") * 1000).cast("long"))
-    bins = bins.groupBy("lang", "bin").agg(F.count("*").alias("n")).where("lang is not null").unionByName(bins.groupBy("bin").agg(F.count("*").alias("n")).withColumn("lang", F.lit(None).cast("string")), allowMissingColumns=True)
-    up_to = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("seen", F.sum("n").over(up_to)).withColumn("whole", F.sum("n").over(Window.partitionBy("lang")))
-    at = lambda q: (F.min(F.when(F.col("seen") >= F.col("whole") * q, F.col("bin"))) / 1000).alias(f"q{round(q * 100)}")
-    return bins.groupBy("lang").agg(F.max("whole").alias("whole"), at(0.25), at(0.5), at(0.75)).where(F.col("lang").isNull() | (F.col("whole") >= least_held))
+
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str, shard: int) -> dict[int, Model]:
+    """The models of one shard, once per Python worker."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    partitions = ds.partitioning(pa.schema([("shard", pa.int32())]), flavor="hive")
+    rows = ds.dataset(root, filesystem=system, format="parquet", partitioning=partitions).to_table(columns=["model", "k", "gram", "p", "is_left"], filter=ds.field("shard").isin([-1, shard]))
+    models, k, left = (rows[c].to_numpy() for c in ("model", "k", "is_left"))
+    p = np.log(rows["p"].to_numpy())
+    found = {}
+    for model in np.unique(models).tolist():
+        tables: dict[bool, list[Table]] = {False: [], True: []}
+        floor = 0.0
+        for order in range(1, ORDER + 1):
+            for is_left in (False, True):
+                at = np.flatnonzero((models == model) & (k == order) & (left == is_left))
+                tables[is_left].append(Table(gram_keys(rows["gram"].take(pa.array(at)).to_pylist(), order - is_left), p[at]))
+                if order == 1 and not is_left:
+                    floor = -float(np.log(len(at) + 1))
+        found[model] = Model(tables[False], tables[True], floor)
+    return found
+
+
+SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("half", pa.int32()), ("nll", pa.float64()), ("excess", pa.float64()), ("n", pa.int64())])
+
+
+def perplexity(docs: DataFrame, model_path: str, n_shards: int) -> DataFrame:
+    """``(id, lang, text_key, half, nll, excess, n)`` of ``docs(id, lang, text_key, text)``: over the n characters of the whole
+    text and its end the sum of -ln P under the trusted model of the other half, and the sum of what -ln P exceeds that of bad
+    text by, beyond 1. With several shards a row is the part of one shard."""
+
+    def scan(shard: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models = _loaded(model_path, shard)
+            for batch in batches:
+                halves = np.array(batch.column("half").to_pylist(), dtype=np.int64)
+                sums, excess, sizes = (np.zeros(batch.num_rows) for _ in range(3))
+                for line, owner, places in slices(batch.column("text").to_pylist()):
+                    if n_shards > 1:
+                        mine = np.flatnonzero(_shards_of(line, n_shards)[places - 1] == shard)
+                        owner, places = owner[mine], places[mine]
+                    first, codes = different(line, places)
+                    good, bad = np.zeros(len(places)), np.zeros(len(places))
+                    for half in (0, 1):
+                        here = np.flatnonzero(halves[owner] == half)
+                        used = np.unique(codes[here])
+                        for model, into in ((GOOD + 1 - half, good), (BAD + 1 - half, bad)):
+                            if len(used) and model in models:
+                                values = np.zeros(len(first))
+                                values[used] = models[model].surprise(line, first[used])
+                                into[here] = values[codes[here]]
+                    sums += np.bincount(owner, good, batch.num_rows)
+                    excess += np.bincount(owner, np.maximum(good - bad - 1, 0), batch.num_rows)
+                    sizes += np.bincount(owner, minlength=batch.num_rows)
+                arrays = [batch.column(c) for c in ("id", "lang", "text_key", "half")] + [pa.array(sums), pa.array(excess), pa.array(sizes.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=SCORES)
+
+        return run
+
+    rows = docs.select("id", "lang", "text_key", half_of("id").alias("half"), "text")
+    found = None
+    for shard in range(n_shards):
+        part = rows.mapInArrow(scan(shard), "id long, lang string, text_key long, half int, nll double, excess double, n long")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def spread_of(held: DataFrame, column: str, width: float = 0.001) -> DataFrame:
+    """``(lang, docs, middle, range)``: median and interquartile range of ``column`` by language, and of all at a null one.
+
+    Values are counted in bins of ``width``, so a group holds its different bins only."""
+    bins = held.where("lang is not null").groupBy("lang", F.round(F.col(column) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    every = held.groupBy(F.round(F.col(column) / width).cast("long").alias("bin")).agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
+    quarters = F.expr("percentile(bin, array(0.25, 0.5, 0.75), n)")
+    found = bins.unionByName(every).where("bin is not null").groupBy("lang").agg(F.sum("n").alias("docs"), quarters.alias("q"))
+    return found.select("lang", "docs", (F.col("q")[1] * width).alias("middle"), ((F.col("q")[2] - F.col("q")[0]) * width).alias("range"))
+
+
+class Scale:
+    """Centre and spread of a score by language, weighed against those of all."""
+
+    def __init__(self, held: DataFrame, column: str, prior_docs: int):
+        found = cut(spread_of(held, column), "spread")
+        self.column, self.whole = column, found.where("lang is null").first()
+        weigh = lambda c: (F.col("docs") * F.col(c) + F.lit(prior_docs * self.whole[c])) / (F.col("docs") + prior_docs)
+        self.by_language = found.limit(0).select("lang", F.col("middle").alias(f"{column}_middle"), F.col("range").alias(f"{column}_range"))
+        if self.whole is not None:
+            self.by_language = found.where("lang is not null").select("lang", weigh("middle").alias(f"{column}_middle"), weigh("range").alias(f"{column}_range"))
+
+    def middle(self) -> Column:
+        return F.coalesce(f"{self.column}_middle", F.lit(None if self.whole is None else self.whole["middle"]).cast("double"))
+
+    def range(self) -> Column:
+        return F.greatest(F.coalesce(f"{self.column}_range", F.lit(None if self.whole is None else self.whole["range"]).cast("double")), F.lit(1e-6))
+
+
+def with_languages(rows: DataFrame, languages: DataFrame) -> DataFrame:
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "text_key"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread(languages, SALTS), ["lang", "_salt"], "left").drop("_salt")
+
+
+def tail_quantile(held: DataFrame, z: Column, tail: float) -> float | None:
+    """The quantile of level ``1 - tail``: the ninth decile, and the exponential tail fitted to what exceeds it."""
+    bins = cut(held.select(F.round(z * 100).cast("long").alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n")), "bins")
+    ninth = bins.agg(F.expr("percentile(bin, 0.9, n)").alias("q")).first()["q"]
+    if ninth is None:
+        return None
+    over = bins.where(F.col("bin") > ninth).agg((F.sum((F.col("bin") - ninth) * F.col("n")) / F.sum("n")).alias("mean")).first()["mean"]
+    return (ninth + (over or 0.0) * float(np.log(0.1 / tail))) / 100
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 3.0, prior_chars: int = 100, held_out: int = 10, least_held: int = 20
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    tail: float = 1e-4,
+    prior_chars: int = 100,
+    even_chars: int = 3_000,
+    prior_docs: int = 20,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """One row per document: (doc_id, lang, text_key, perplexity, score, threshold, lean, lean_threshold, kept)."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    ids = cut(trusted_ids(labels).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(held_out)) == 0), "trusted")
-    bad = cut(bad_ids(labels).withColumn("half", half_of("id")), "bad")
-
-    def fitted(of: DataFrame) -> str:
-        path = fresh_path(spark, "model")
-        fit(cut(count_grams(trusted_texts(plain, of.select("id"))), "grams")).write.parquet(path)
-        return path
-
-    paths = fitted(ids.where("not held")), (fitted(bad.where("half = 0")), fitted(bad.where("half = 1")))
-    scored = cut(perplexity(plain, *paths).withColumn("mean", F.col("nll") / F.col("n")).withColumn("lean", (F.col("nll") - F.col("bad_nll")) / F.col("n")), "scored")
-    held = scored.join(ids.where("held"), "id", "left_semi")
-    names = ("q25", "q50", "q75", "whole")
-    found = quantiles(held.select("lang", "mean"), least_held)
-    leans = quantiles(held.select("lang", F.col("lean").alias("mean")), least_held).select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"lean_{c}") for c in names[:3]))
-    found = cut(found.join(leans, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang"), "quantiles")
-    names += tuple(f"lean_{c}" for c in names[:3])
-    whole = found.where("lang is null").first()
-    limits = [F.lit(None).cast("double") if whole is None else F.coalesce(c, F.lit(whole[c])) for c in names]
-    languages = spread(found.where("lang is not null"), SALTS)
-    joined = scored.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(languages, ["lang", "_salt"], "left")
-    low, middle, high, n_held, lean_low, lean_middle, lean_high = limits
-    wide = F.lit(fence) * (1 + 4 / F.sqrt(n_held))
-    drawn = lambda total, to: (total + to * prior_chars) / (F.col("n") + prior_chars)
-    judged = joined.select(
+    good = trusted_ids(labels).withColumn("model", half_of("id") + GOOD)
+    ids = cut(good.unionByName(bad_ids(labels).withColumn("model", half_of("id") + BAD)), "labelled")
+    grams = cut(count_grams(plain.join(if_small(ids), "id")), "grams")
+    path = fresh_path(spark, "model")
+    model = cut(fit(grams), "model")
+    n_shards = max(1, -(-model.count() // shard_rows))
+    model.withColumn("shard", shard_of(n_shards)).repartition("shard").write.partitionBy("shard").parquet(path)
+    present = {r["model"] for r in grams.select("model").distinct().collect()}  # four at most
+    able, lean_able = {GOOD, GOOD + 1} <= present, {GOOD, GOOD + 1, BAD, BAD + 1} <= present
+    if not present:
+        scored = plain.select("id", "lang", "text_key", F.lit(0.0).alias("nll"), F.lit(0.0).alias("excess"), F.lit(1).cast("long").alias("n"), (F.col("text") == "").alias("empty"))
+    else:
+        scored = perplexity(plain, path, n_shards)
+        if n_shards > 1:  # equal rows have equal sums: they are added up as one and counted
+            scored = scored.groupBy("id", "lang", "text_key").agg(F.sum("nll").alias("nll"), F.sum("excess").alias("excess"), F.sum("n").alias("n"))
+            copies = plain.groupBy("id", "lang", "text_key").agg(F.count("*").alias("copies"))
+            same = F.col("id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("text_key") == F.col("_key"))
+            copies = copies.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_key"), "copies")
+            scored = scored.join(copies, same).select("id", "lang", "text_key", *((F.col(c) / F.col("copies")).alias(c) for c in ("nll", "excess", "n")), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")
+        scored = scored.select("id", "lang", "text_key", "nll", "excess", "n", (F.col("n") == 1).alias("empty"))
+    scored = cut(scored.withColumn("mean", F.col("nll") / F.col("n")), "scored")
+    trusted = ids.where(F.col("model") < BAD).select("id")
+    is_held = lambda rows: rows.join(if_small(trusted), "id", "left_semi")
+
+    means = Scale(is_held(scored), "mean", prior_docs)
+    rates = is_held(scored).groupBy("lang").agg(F.sum("excess").alias("e"), F.sum("n").alias("c"), F.count("*").alias("docs"))
+    rate = rates.agg(F.sum("e"), F.sum("c"), F.sum("docs")).first()
+    usual, chars = (0.0, 0.0) if not rate[1] else (rate[0] / rate[1], rate[1] / rate[2])
+    prior = prior_docs * chars  # characters
+    rates = rates.where("lang is not null").select("lang", ((F.col("e") + usual * prior) / (F.col("c") + prior)).alias("rate"))
+    rows = with_languages(scored, means.by_language.join(rates, "lang", "left"))
+    rows = rows.withColumn("score", (F.col("nll") + means.middle() * prior_chars) / (F.col("n") + prior_chars))
+    rows = rows.withColumn("lean", (F.col("excess") - F.coalesce("rate", F.lit(usual)) * F.col("n")) / F.sqrt(F.col("n") + prior_chars + F.col("n") * F.col("n") / even_chars))
+    rows = cut(rows.select("id", "lang", "text_key", "mean", "score", "lean", "empty"), "drawn")
+    held = cut(is_held(rows), "held")
+    limits = {}
+    scales = [Scale(held, name, prior_docs) for name in ("score", "lean")]
+    both = scales[0].by_language.join(scales[1].by_language, "lang", "left")
+    placed, held = with_languages(rows, both), with_languages(held, both)
+    for scale, usable in zip(scales, (able, lean_able)):
+        high = tail_quantile(held, (F.col(scale.column) - scale.middle()) / scale.range(), tail) if usable else None
+        limits[scale.column] = F.lit(None).cast("double") if high is None else scale.middle() + scale.range() * F.lit(high)
+    over = F.coalesce(F.col("score") > limits["score"], F.lit(False)) | F.coalesce(F.col("lean") > limits["lean"], F.lit(False))
+    return placed.select(
         F.col("id").alias("doc_id"),
         "lang",
         "text_key",
         F.exp("mean").alias("perplexity"),
-        drawn(F.col("nll"), middle).alias("score"),
-        (high + (high - low) * wide).alias("threshold"),
-        drawn(F.col("nll") - F.col("bad_nll"), lean_middle).alias("lean"),
-        (lean_high + (lean_high - lean_low) * wide).alias("lean_threshold"),
-        (F.col("n") == 1).alias("empty"),
+        "score",
+        limits["score"].alias("threshold"),
+        "lean",
+        limits["lean"].alias("lean_threshold"),
+        (F.col("empty") | ~over).alias("kept"),
     )
-    over = F.col("score") > F.col("threshold")
-    if bad.select("half").distinct().count() == 2:
-        over |= F.col("lean") > F.col("lean_threshold")
-    return judged.withColumn("kept", F.coalesce(F.col("empty") | ~over, F.lit(True))).drop("empty")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
