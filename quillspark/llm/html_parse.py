@@ -15,14 +15,17 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CHROME_TAGS = frozenset(
-    "nav aside footer form script style noscript template iframe noembed noframes xmp svg math canvas object audio video button select option textarea input dialog menu head title".split()
+    "nav aside footer script style noscript template iframe noembed noframes xmp svg math canvas object audio video button select option textarea input dialog menu head title".split()
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-CHROME_NAMES = frozenset(
-    """ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar navigation menu topbar toolbar header masthead footer sidebar
-    aside rail widget widgets breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login
-    comment comments disqus respond reply replies discussion share sharing social related recommended recommendations trending tags toc skip hidden""".split()
+#: Whole class or id names that hint at something beside the text; a hint never decides alone (see html_template).
+SIDE_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising sponsored sponsor promo nav navbar navigation menu topbar toolbar site-header masthead site-footer footer sidebar
+    rail widget widgets breadcrumb breadcrumbs pagination pager cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices banner popup modal overlay newsletter
+    subscribe signup login comment comments comment-list commentlist comments-area disqus_thread respond replies discussion share share-buttons social social-share related related-posts
+    related-articles recommended recommendations trending tags toc skip-link""".split()
 )
+COMMENT_NAMES = frozenset("comments comment-list commentlist comments-area disqus_thread respond replies".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag ends an open element of these kinds, up to the listed containers.
@@ -30,7 +33,6 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select html body article main section div td th".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 
 
@@ -41,6 +43,7 @@ class Block:
     chrome: bool
     article: int  # nth outermost article or main element, 0: none
     linked: int  # characters inside links
+    side: str = ""  # path of the outermost element around it whose name hints at something beside the text
 
 
 @dataclass(slots=True)
@@ -50,6 +53,8 @@ class _Open:
     chrome: bool
     article: int
     inline: bool
+    side: str = ""
+    form: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -57,16 +62,24 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_chrome(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether the markup itself says that this is no text of the page."""
     if tag in CHROME_TAGS or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in ("html", "body") or tag in ARTICLE_TAGS:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in CHROME_ROLES:
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return bool(names.strip()) and not CHROME_NAMES.isdisjoint(WORDS.findall(names)) and tag not in HEADINGS
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _is_side(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in ("html", "body") or tag in ARTICLE_TAGS or tag in HEADINGS or not ("class" in attributes or "id" in attributes):
+        return False
+    return not SIDE_NAMES.isdisjoint(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
+
+
+def _is_comments(attributes: dict[str, str]) -> bool:
+    return not COMMENT_NAMES.isdisjoint(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -100,8 +113,9 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             if text := " ".join("".join(pieces).split()):
                 top = next((o for o in reversed(stack) if not o.inline), base)
-                chrome = any(o.chrome for o in stack)
-                found.append(Block(top.path, text, chrome, top.article, linked))
+                # a form around an article is the page's; any other is a form
+                chrome = (stack[-1].chrome if stack else False) or (top.form and not top.article)
+                found.append(Block(top.path, text, chrome, top.article, linked, top.side))
             pieces.clear()
         linked = 0
 
@@ -183,15 +197,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if page[end - 1] == "/" and tag not in INLINE and tag in ("path", "rect", "circle", "use"):
             continue
-        article = top.article
+        article, side, form = top.article, top.side, top.form
         if tag in ARTICLE_TAGS and not article and not top.chrome:
             articles += 1
-            article = articles
+            article, side, form = articles, "", False
+        elif tag == "form":
+            chrome, form = chrome or article > 0, True
         path = top.path
         if not inline:
             label = " ".join(sorted(attributes.get("class", "").lower().split())) if "class" in attributes else ""
             path = f"{path}/{tag}{'.' + DIGITS.sub('0', label) if label else ''}"
-        stack.append(_Open(tag, path, chrome or top.chrome, article, inline))
+        if not side and not inline and _is_side(tag, attributes):
+            side = f"{'comments' if _is_comments(attributes) else 'side'}#{len(found)}.{len(stack)}"  # this element, not others of its path
+        stack.append(_Open(tag, path, chrome or top.chrome, article, inline, side, form))
         depth_a += tag == "a"
     flush()
     return found
