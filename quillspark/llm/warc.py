@@ -5,17 +5,27 @@
 ``chunk_bytes`` with the SHA-256 and the byte count of everything up to and including the chunk, so
 no record is ever held whole, however large it is.
 
+Archives of others are read too: any WARC version and record type, gzipped or plain. What is
+``application/http`` has its HTTP head taken off, everything else is payload; a digest that is not
+SHA-256 is left alone, and ``row_id`` and ``refers_to`` are null. For a revisit, which has no payload of
+its own, size and digest are what it declares. Records written here are verified when they are read.
+
+Only digests are shuffled to find equal payloads; the few that occur again are broadcast behind a count
+(of fixed-width rows), beyond that the join with them is salted.
+
 Recovery: a task writes to a name of its own attempt and renames it when it is complete, so a lost
 or repeated task leaves exactly one whole file.
 
 Nulls and odd cases: a null payload is an empty one; a null url is written as ``urn:x-missing:url``;
 a null id is kept as null and, among equal payloads, comes after all others; rows that repeat the
-smallest id of a group of equal payloads are all responses (each is that record); an empty table
+smallest id of a group of equal payloads are all responses (each is that record); a long payload is
+never held whole when it is read; a line of a head beyond ``MAX_LINE`` bytes is an error; an empty table
 gives an empty chunk table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import string
 import uuid
@@ -28,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, salt, spread, table
+from .common import cut, fresh_path, salt, spread, table
 
 CHUNK_SCHEMA = (
     "archive string, record_offset long, record_id string, row_id long, url string, record_type string, refers_to long, "
@@ -43,6 +53,8 @@ ARROW_CHUNKS = pa.schema(
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 16
+BROADCAST_DIGESTS = 500_000  # of a digest and an id
+MAX_LINE = 1 << 20
 PIECE = 1 << 20
 FLUSH_BYTES = 4 << 20
 
@@ -53,10 +65,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def resolve_revisits(rows: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
+def resolve_revisits(rows: DataFrame, min_revisit_bytes: int = 100, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """Rows ``(row_id, url, payload binary)`` with digest, size and ``refers_to``: of equal payloads of at
     least ``min_revisit_bytes`` all but the smallest id refer to it. Only digests are grouped (with
-    partial aggregation); a hot digest is salted in the join back."""
+    partial aggregation); a hot digest is salted where it is not broadcast."""
     sized = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     originals = (
         sized.where(F.col("payload_bytes") >= min_revisit_bytes)
@@ -65,7 +77,11 @@ def resolve_revisits(rows: DataFrame, min_revisit_bytes: int = 100) -> DataFrame
         .where("_n > 1")
         .drop("_n")
     )
-    joined = salt(sized, F.coalesce("row_id", F.lit(-1)), SALTS).join(spread(originals, SALTS), ["payload_digest", "_salt"], "left").drop("_salt")
+    originals = cut(originals, "originals")
+    if originals.count() <= broadcast_digests:
+        joined = sized.join(F.broadcast(originals), "payload_digest", "left")
+    else:
+        joined = salt(sized, F.coalesce("row_id", F.lit(-1)), SALTS).join(spread(originals, SALTS), ["payload_digest", "_salt"], "left").drop("_salt")
     other = F.col("row_id").isNull() | (F.col("row_id") != F.col("original"))
     return joined.withColumn("refers_to", F.when(F.col("original").isNotNull() & other, F.col("original"))).drop("original")
 
@@ -128,14 +144,21 @@ def write_archives(rows: DataFrame, folder: str, *, date: str = "2024-01-01T00:0
 
 
 class _Inflated:
-    """The decompressed bytes of a file of gzip members, read in bounded pieces."""
+    """The bytes of a file of gzip members, or of a plain one, read in bounded pieces."""
 
     def __init__(self, raw):
         self.raw, self.unpack, self.buffer, self.ended, self.at = raw, zlib.decompressobj(31), b"", False, 0
+        self.first = raw.read(2)
+        self.plain = self.first != b"\x1f\x8b"
 
     def _more(self) -> bool:
+        if self.plain:
+            data, self.first = self.first + self.raw.read(1 << 16), b""
+            self.buffer += data
+            return bool(data)
         while not self.ended:
-            data = self.unpack.unconsumed_tail or self.unpack.unused_data or self.raw.read(1 << 16)
+            data = self.unpack.unconsumed_tail or self.unpack.unused_data or self.first + self.raw.read(1 << 16)
+            self.first = b""
             if self.unpack.eof:
                 self.unpack = zlib.decompressobj(31)
             if not data:
@@ -148,6 +171,8 @@ class _Inflated:
 
     def line(self) -> bytes:
         while (end := self.buffer.find(b"\n")) < 0:
+            if len(self.buffer) > MAX_LINE:
+                raise ValueError(f"a line of more than {MAX_LINE} bytes at {self.at}")
             if not self._more():
                 end = len(self.buffer) - 1
                 break
@@ -163,6 +188,16 @@ class _Inflated:
         return found
 
 
+def _hex_sha256(declared: str | None) -> str | None:
+    """The bare lower-case hex of ``sha256:...``, given in hex or base32; what is of another algorithm stays as it is."""
+    name, _, value = (declared or "").partition(":")
+    if name.lower().replace("-", "") == "sha256" and len(value) == 64:
+        return value.lower()
+    if name.lower().replace("-", "") == "sha256" and len(value.rstrip("=")) == 52:
+        return base64.b32decode(value.rstrip("=").upper() + "====").hex()
+    return declared
+
+
 def _number(text: str | None) -> int | None:
     return None if text is None else int(text)
 
@@ -178,31 +213,40 @@ def _chunks(archive: str, stream: _Inflated, chunk_bytes: int) -> Iterator[tuple
             raise ValueError(f"{archive}: no WARC record at {offset}")
         head: dict[str, str] = {}
         while (line := stream.line()).strip():
-            key, _, value = line.decode().partition(":")
+            key, _, value = line.decode("utf-8", "replace").partition(":")
             head[key.lower()] = value.strip()
-        left, digest, size, number = int(head["content-length"]), hashlib.sha256(), 0, 0
-        while left and (line := stream.line()):
-            left -= len(line)
-            if not line.strip():
-                break
-        kind, declared, total = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:"), int(head["x-payload-length"])
-        same = (archive, offset, head["warc-record-id"], _number(head.get("x-row-id")), head["warc-target-uri"], kind, _number(head.get("x-refers-to-row")), total, declared)
+        left, digest, size, number = int(head.get("content-length", 0)), hashlib.sha256(), 0, 0
+        kind, own = head.get("warc-type"), "x-payload-length" in head
+        if head.get("content-type", "").lower().startswith("application/http"):
+            while left > 0 and (line := stream.line()):
+                left -= len(line)
+                if not line.strip():
+                    break
+        total, declared = left, _hex_sha256(head.get("warc-payload-digest"))
+        if kind == "revisit":
+            total = _number(head.get("x-payload-length"))
+        row, refers = _number(head.get("x-row-id")), _number(head.get("x-refers-to-row"))
+        same = (archive, offset, head.get("warc-record-id"), row, head.get("warc-target-uri"), kind, refers, total)
         while True:
             data = stream.take(min(left, chunk_bytes))
             left, size = left - len(data), size + len(data)
             digest.update(data)
             if left and not data:
                 raise ValueError(f"{archive}: the record at {offset} is cut off")
-            if not left and kind == "response" and (digest.hexdigest() != declared or size != total):
+            if own and not left and kind == "response" and (digest.hexdigest() != declared or size != int(head["x-payload-length"])):
                 raise ValueError(f"{archive}: the record at {offset} does not have its digest")
-            yield (*same, number, data, size, digest.hexdigest(), not left)
+            # a record's digest is known at its end; a record written here declares it
+            of_record = declared if own or kind == "revisit" else digest.hexdigest() if not left else None
+            yield (*same, of_record, number, data, size, digest.hexdigest(), not left)
             number += 1
             if not left:
                 break
 
 
 def read_chunks(spark: SparkSession, folder: str, *, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """The chunked record table of all ``*.warc.gz`` in ``folder``."""
+    """The chunked record table of all ``*.warc.gz`` and ``*.warc`` in ``folder``.
+
+    ``payload_digest`` is in a record's last chunk, and in all if the record declares it as SHA-256."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -221,7 +265,7 @@ def read_chunks(spark: SparkSession, folder: str, *, chunk_bytes: int = 1 << 20)
 
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder).select("path")
     return files.mapInArrow(read, CHUNK_SCHEMA)
 
 
