@@ -5,29 +5,34 @@ Every version of every document is a blob, named by the SHA-256 of its text. The
 does not hold for the current rules, each once however many documents share it, and the findings
 are joined back to every path (document) that ever held the blob.
 
+The rule version is a digest of the rules, so changed rules are scanned anew.
+
 Spans come from JVM regular expressions: each match is wrapped in private marks, the marked text is
-split, and lengths add up to code-point positions. Texts are grouped by digest with partial
-aggregation, so a text shared by a third of all rows leaves each task once. The join back broadcasts
-the findings if they are at most BROADCAST_SPANS spans, else it is salted.
+split, and lengths add up to code-point positions. Only digests are grouped: of a blob that several rows
+hold, the row of the smallest id is scanned, and texts are filtered where they are. The few key tables
+that this and the join back need are broadcast behind a count, else those joins are salted.
 
 Nulls and odd cases: a null text is an empty one; null ids are kept; repeated rows each get the
-findings; an empty table gives an empty result; other columns are ignored; the marks' own characters
-in a text are read as another control character, which no rule can match.
+findings; spans that overlap, of one rule or several, are all reported, by start and then rule; a long
+text is scanned whole, in time proportional to it; an empty table gives an empty result; other columns are
+ignored; the marks' own characters in a text are read as another control character, which no rule can match.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, packed, spread, table
+from .common import cut, fresh_path, packed, salt, spread, table
 
 BASE_KINDS = ("assign", "access", "hex")
 OPEN, SPLIT, CLOSE = "\x01", "\x02", "\x03"
 SALTS = 8
 BROADCAST_SPANS = 200_000
+BROADCAST_BLOBS = 1_000_000  # of a digest and an id
 
 
 @dataclass(frozen=True)
@@ -48,12 +53,15 @@ RULES = (
     Rule("github", r"()(gh[pousr]_[A-Za-z0-9]{36,})", 40, "gh"),
     Rule("slack", r"()(xox[baprs]-[A-Za-z0-9-]{10,})", 15, "xox"),
     Rule("jwt", r"()(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 24, "eyJ"),
-    Rule("pem", r"()(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)", 1, "PRIVATE KEY-----"),
+    Rule("pem", r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]*PRIVATE KEY-----)?)", 1, "PRIVATE KEY-----"),
 )
-RULE_VERSION = "2024-1"
 FINDINGS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()
+
+
 def _spans(text: Column, rank: int, rule: Rule) -> Column:
     """array<(start, rank, kind, end)> of one rule's matches in a text without marks."""
     marked = F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"{OPEN}$1{SPLIT}$2{CLOSE}"))
@@ -109,26 +117,41 @@ class Ledger:
         found = self._read("findings", f"blob string; rule_version string; findings {FINDINGS}")
         return found.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.max("findings").alias("findings"))
 
-    def extend(self, texts: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
-        """Scans what of ``texts(blob, text)`` is not yet scanned by these rules, each blob once."""
-        known = self.scanned().where(F.col("rule_version") == rule_version).select("blob")
-        blobs = texts.select("blob").distinct()
-        blobs = cut(blobs.join(known, "blob", "left_anti") if self._has("scanned") else blobs, "blobs")
-        fresh = texts.join(blobs, "blob", "left_semi") if self._has("scanned") else texts
-        unseen = fresh.groupBy("blob").agg(F.first("text").alias("text"))
-        scan(unseen, rules).withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "findings").write.mode("append").parquet(f"{self.folder}/findings")
-        blobs.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(f"{self.folder}/scanned")
+    def extend(self, texts: DataFrame, rules: tuple[Rule, ...] = RULES, *, broadcast_blobs: int = BROADCAST_BLOBS) -> int:
+        """Scans what of ``texts(blob, path, text)`` is not yet scanned by these rules, each blob once; returns how many blobs."""
+        version, again = version_of(rules), self._has("scanned")
+        firsts = texts.groupBy("blob").agg(F.min("path").alias("_first"), F.count("*").alias("_n"))
+        if again:
+            firsts = firsts.join(self.scanned().where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
+        unseen = cut(firsts, "blobs")
+        # all that is unseen in a first scan: only blobs of several rows need a choice
+        wanted = unseen if again else unseen.where("_n > 1")
+        how = "inner" if again else "left"
+        if wanted.count() <= broadcast_blobs:
+            joined = texts.join(F.broadcast(wanted), "blob", how)
+        else:
+            joined = salt(texts, F.col("path"), SALTS).join(spread(wanted, SALTS), ["blob", "_salt"], how)
+        chosen = joined.where(F.col("_n").isNull() | F.col("path").eqNullSafe(F.col("_first"))).select("blob", "text")
+        scan(chosen, rules).withColumn("rule_version", F.lit(version)).select("blob", "rule_version", "findings").write.mode("append").parquet(f"{self.folder}/findings")
+        unseen.select("blob", F.lit(version).alias("rule_version")).write.mode("append").parquet(f"{self.folder}/scanned")
+        return unseen.count()
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def with_findings(docs: DataFrame, ledger: Ledger, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(blob, path, text)``: what the ledger is extended by; the path is the row's id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(blob_of(text).alias("blob"), F.col(id_col).cast("string").alias("path"), text.alias("text"))
+
+
+def with_findings(docs: DataFrame, ledger: Ledger, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(_row, text, findings)`` for every row of ``docs``, after extending the ledger by their texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ledger.extend(docs.select(blob_of(text).alias("blob"), text.alias("text")), rules, rule_version)
-    found = cut(ledger.findings(rule_version).select("blob", "findings"), "findings")
+    ledger.extend(versions(docs, id_col, text_col), rules)
+    found = cut(ledger.findings(version_of(rules)).select("blob", "findings"), "findings")
     paths = packed(docs, text=text, blob=blob_of(text))
     spans = found.agg(F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()[0]
     if spans <= BROADCAST_SPANS:  # a row has a span at least, and a digest and spans have a fixed width
@@ -165,8 +188,11 @@ def without_secrets(docs: DataFrame, ledger: Ledger, *, text_col: str = "text",
 
 
 def op8_secret_ledger(spark, sf_dir: str) -> DataFrame:
+    """The table is put in the ledger twice: what the second scan finds is already known, and nothing is scanned again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_findings(docs, Ledger(spark, fresh_path(spark, "ledger"))).select("_row.doc_id", "findings")
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    ledger.extend(versions(docs, "doc_id", "text"))
+    found = with_findings(docs, ledger).select("_row.doc_id", "findings")
     base = F.filter("findings", lambda x: x["rank"] < len(BASE_KINDS))
     of_kind = lambda kind: F.filter("findings", lambda x: x["kind"] == kind)
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]

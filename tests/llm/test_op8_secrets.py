@@ -56,8 +56,9 @@ def test_ledger_scans_each_blob_and_version_once(spark, monkeypatch):
     two = {r["_row"]["doc_id"]: r["findings"] for r in secrets.with_findings(second, ledger).collect()}
     assert scanned == [["clean", "secret=abcdef"], ["token=123456"]]
     assert sum(len(r["findings"]) for r in one) == 2 and [len(two[i]) for i in (1, 2, 4)] == [1, 1, 0]
-    secrets.with_findings(second, ledger, rule_version="next").count()
-    assert scanned[2] == ["clean", "secret=abcdef", "token=123456"]
+    assert ledger.extend(secrets.versions(second, "doc_id", "text")) == 0
+    secrets.with_findings(second, ledger, rules=secrets.RULES[:-1]).count()  # other rules, another version
+    assert scanned[2] == [] and scanned[3] == ["clean", "secret=abcdef", "token=123456"]
 
 
 def test_redaction_and_empty_table(spark):
@@ -68,3 +69,21 @@ def test_redaction_and_empty_table(spark):
     assert out[2]["text"] is None and out[3]["text"] == "clean" and out[3]["blob"] == 1
     empty = secrets.without_secrets(df.where("false"), secrets.Ledger(spark, fresh_path(spark, "ledger-test")))
     assert empty.count() == 0 and empty.columns == df.columns
+
+
+def test_first_scan_and_later_ones_without_broadcast(spark):
+    rows = [(i, f"secret=abcdef{i % 7}") for i in range(60)] + [(None, "secret=abcdef1"), (None, "secret=other77"), (3, "secret=abcdef3")]
+    for limit in (0, 1_000_000):
+        ledger = secrets.Ledger(spark, fresh_path(spark, "ledger-test"))
+        assert ledger.extend(secrets.versions(docs(spark, rows[:20]), "doc_id", "text"), broadcast_blobs=limit) == 7
+        assert ledger.extend(secrets.versions(docs(spark, rows), "doc_id", "text"), broadcast_blobs=limit) == 1
+        found = ledger.findings(secrets.version_of(secrets.RULES)).collect()
+        assert len(found) == 8 and all(len(r["findings"]) == 1 for r in found)
+
+
+def test_a_private_key_goes_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(25)) + "\nAb==\n-----END RSA PRIVATE KEY-----"
+    long = "-----BEGIN PRIVATE KEY-----" + "Zz9/" * 100_000
+    df = docs(spark, [(1, f"before {key} after."), (2, long), (3, "BEGIN PRIVATE KEY is a phrase")])
+    out = {r["doc_id"]: r["text"] for r in secrets.without_secrets(df, secrets.Ledger(spark, fresh_path(spark, "ledger-test"))).collect()}
+    assert out == {1: "before [SECRET] after.", 2: "[SECRET]", 3: "BEGIN PRIVATE KEY is a phrase"}
