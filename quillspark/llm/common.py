@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a local folder made."""
+    Only on a local master, where that is unset (tests, a laptop), is a local folder made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quill-"))
     return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, which is deleted when this program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((weakref.ref(spark), path))
+    return path
+
+
+_written: list[tuple[weakref.ref, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    """Tables cut here are read by whatever was built on them, as long as this program runs; then they go."""
+    for reference, path in _written:
+        spark = reference()
+        try:
+            if spark is not None and spark.sparkContext._jsc is not None:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session is gone, or the folder with it
+            return
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -84,23 +108,37 @@ def in_bitmap(bitmap: bytes, key: str) -> int:
     return bitmap[place >> 3] >> (place & 7) & 1
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: Column, how: str = "inner", n: int = SALTS, few: bool | None = None) -> DataFrame:
+    """``rows`` joined with the unique keys of ``keyed``, of fixed width: broadcast if they are few (counted if not told), else
+    copied for each salt, so that the rows of a hot key are spread over ``n`` tasks. A null key joins with nothing and is spread
+    as well."""
+    if keyed.count() <= BROADCAST_ROWS if few is None else few:
+        return rows.join(F.broadcast(keyed), key, how)
+    return salt(rows, by, n).join(spread(keyed, n), [key, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, any direction): ``(id, component)`` with the
     smallest id of each component, for ids that have an edge.
 
-    Alternating large-star and small-star rounds. Each round is a grouped minimum and an equi-join,
-    both with partial aggregation, so a hub is never gathered in one task; every round is cut in
-    the shared folder. Rounds grow with the logarithm of the component's size."""
+    Alternating large-star and small-star rounds until nothing changes, which they do after about the
+    logarithm of the longest path. Each round is a grouped minimum, which is partial, and a join of the
+    edges with it, which is salted by the other end, so a hub is never gathered in one task; every round
+    is cut in the shared folder."""
     near = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    previous = None
-    for _ in range(max_rounds):
+    previous, n = None, near.count()
+    while True:
+        few = 2 * n <= BROADCAST_ROWS  # ids
         both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted_join(both.where("b > a"), low, "a", F.col("b"), few=few).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(small_low, "a")
+            salted_join(large, small_low, "a", F.col("b"), few=few)
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
@@ -110,9 +148,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         state = near.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == previous:
             break
-        previous = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        previous, n = state, state[0]
     return near.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(
         near.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(near.select(F.col("a").alias("id")), "id", "left_anti")
     )

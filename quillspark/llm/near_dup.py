@@ -13,17 +13,23 @@ are verified exactly on their whole texts, and linked classes are closed under l
   first verified against the bucket's smallest; documents that this leaves in another class are then
   paired with every document of the bucket that is not in their class. No pair that could join two
   classes is left out, and a bucket of copies costs one pair per document.
-* A text that many pairs need is salted by its number of pairs.
+  Of these only pairs are made whose sizes allow the threshold: the smaller weight (or number) of shingles is
+  at least ``threshold`` times the larger.
+* A text that many pairs need, on either side, is salted by its number of pairs; rows of a digest or a
+  bucket that a third of all rows share are salted in every join with it, or its few keys are broadcast.
 
-A pair is linked if its weighted Jaccard similarity or, for texts whose idf is unlike that of the
-corpus, its plain one (multisets) is at least ``threshold``.
+A pair is linked if its weighted Jaccard similarity, from which the samples come, is at least
+``threshold``, or if its plain one is (of the multisets, all weights 1): the copies with a few rare words
+changed, which idf pulls below the threshold, are near-copies by the plain measure. ``link_by`` names the
+measures; either way what the bands propose is decided on whole texts.
 
 With 64 samples in 16 bands a pair at 0.8 is missed with a probability of 2e-4, above that with less.
 
 Nulls and odd cases: a null text is an empty one; a text without words is only equal to texts with
 the same characters; a text of fewer than five words is one shingle; documents with a null id are
 classes of their own with a null class; rows that repeat an id are versions of one document: each
-gets a row, all fall into one class, and candidates are verified on the smallest of their texts; an empty table gives an empty result; other columns are ignored.
+gets a row, all fall into one class, and candidates are verified on the smallest of their texts; a class's
+tie goes to the smallest id; long texts are sampled in pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, if_small, in_bitmap, key_bitmap, packed, table
-from .shingles import _MIX, _STEP, mix64, shingles_of, words_by_text
+from .common import components, cut, if_small, in_bitmap, key_bitmap, packed, salted_join, table
+from .shingles import _MIX, _STEP, SHINGLE, mix64, shingles_of, words_by_text
 
 COUNTERS = 1 << 18
 PIECE = 1024
 PAIRS_PER_TEXT = 2048
+SALTS = 8
 
 
 class Sampler:
@@ -139,25 +146,28 @@ def word_idf(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, samples: int, bands: int) -> DataFrame:
-    """``(id, same, bands)`` of ``docs(id, text)``: the digest of the words and the band hashes."""
+    """``(id, same, bands, n, weight)`` of ``docs(id, text)``: the digest of the words, the band hashes, the number and the weight of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(samples, bands), idf.value
-        schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64())), ("n", pa.int64()), ("weight", pa.float64())])
         for batch in batches:
-            same, found = [], []
+            same, found, sizes, sums = [], [], [], []
             texts = batch.column("text")
             for i, words in enumerate(words_by_text(texts)):
+                sizes.append(max(1, len(words) - SHINGLE + 1))
                 if len(words):
                     same.append(xxhash.xxh3_128_digest(words.tobytes()))
                     keys, weights, _ = weighted(words, table)
+                    sums.append(float(weights.sum()))
                     found.append(sampler.draw(keys, weights).astype(np.int64))
                 else:
                     same.append(xxhash.xxh3_128_digest(texts[i].as_py().encode("utf-8", "surrogatepass"), seed=1))
                     found.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+                    sums.append(0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, same binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, same binary, bands array<long>, n long, weight double")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -173,8 +183,12 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cut(passed.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole texts are similar enough."""
+MEASURES = ("weighted", "plain")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float, link_by: tuple[str, ...]) -> DataFrame:
+    """Those of ``pairs(a, b, parts_a, parts_b)`` whose whole texts are similar enough."""
+    weighed, plain = "weighted" in link_by, "plain" in link_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -185,61 +199,89 @@ def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFr
                 if a != last:
                     left, last = weighted(x, table), a
                 right = weighted(y, table)
-                if jaccard((left[0], left[1]), (right[0], right[1])) >= threshold or jaccard((left[0], left[2]), (right[0], right[2])) >= threshold:
+                if (weighed and jaccard((left[0], left[1]), (right[0], right[1])) >= threshold) or (plain and jaccard((left[0], left[2]), (right[0], right[2])) >= threshold):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = texts_of(docs, ids)
     # a text is copied once for each PAIRS_PER_TEXT pairs that need it, so no task gets all of a hub's
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    texts_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    texts_a = pairs.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return pairs.join(texts_b, "b").join(texts_a, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    joined = pairs
+    for side, other in (("b", "a"), ("a", "b")):
+        joined = joined.withColumn("part", F.pmod(F.xxhash64(other), F.col(f"parts_{side}")).cast("int"))
+        needed = pairs.select(side, F.pmod(F.xxhash64(other), F.col(f"parts_{side}")).cast("int").alias("part")).distinct()
+        needed = needed.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
+        joined = joined.join(needed, [side, "part"]).drop("part", f"parts_{side}")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, samples: int = 64, bands: int = 16, small_bucket: int = 12
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.8,
+    samples: int = 64,
+    bands: int = 16,
+    small_bucket: int = 12,
+    link_by: tuple[str, ...] = MEASURES,
 ) -> DataFrame:
     """``(doc_id, class_id, kept)``, a row per document: the smallest id of its class, and whether it is that."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = docs.sparkSession.sparkContext.broadcast(word_idf(plain))
     signed = cut(signatures(plain, idf, samples, bands), "signed")
-    copies = cut(signed.where("id is not null").groupBy("same").agg(F.min("id").alias("rep")), "copies")
-    # of a representative's rows, one with its digest carries the bands
-    unique = signed.join(copies, "same").where("id = rep and bands is not null").groupBy("rep", "same").agg(F.first("bands").alias("bands"))
+    copies = cut(signed.where("id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
+    # what only one row has is its own representative; the others meet theirs
+    shared = copies.where("copies > 1").select("same", "rep")
+    with_rep = cut(salted_join(signed, shared, "same", F.monotonically_increasing_id(), "left").withColumn("rep", F.when(F.col("id").isNotNull() | F.col("rep").isNotNull(), F.coalesce("rep", "id"))), "represented")
+    # a row with a null id has no class, but may be a copy of texts with one; of a representative's rows, one with its digest carries the bands
+    unique = with_rep.where("id = rep and bands is not null").groupBy("rep", "same").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("weight").alias("weight"))
 
-    members = unique.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket")).distinct()
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    members = cut(members.join(sizes, "bucket"), "buckets")
+    members = unique.select("rep", "n", "weight", F.posexplode("bands").alias("band", "key")).select("rep", "n", "weight", F.xxhash64("band", "key").alias("bucket")).distinct()
+    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("in_bucket"), F.min("rep").alias("hub")).where("in_bucket > 1"), "sizes")
+    members = cut(salted_join(members, sizes, "bucket", F.col("rep")), "buckets")
 
     def parts(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        load = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).cast("int").alias("parts"))
-        return cut(pairs.join(load, "a"), "pairs")
-
-    few = members.where(F.col("n") <= small_bucket)
+        pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        for side, other in (("a", "b"), ("b", "a")):
+            load = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).cast("int").alias(f"parts_{side}"))
+            busy = load.where(f"parts_{side} > 1")
+            pairs = salted_join(pairs, busy, side, F.col(other), "left", few=True).withColumn(f"parts_{side}", F.coalesce(f"parts_{side}", F.lit(1)))
+        return pairs
+
+    few = members.where(F.col("in_bucket") <= small_bucket)
     paired = few.select("bucket", F.col("rep").alias("a")).join(few.select("bucket", F.col("rep").alias("b")), "bucket").where("a < b").select("a", "b")
-    stars = members.where(F.col("n") > small_bucket).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = cut(verified(parts(paired.unionByName(stars)), plain, idf, threshold), "links")
+    stars = members.where(F.col("in_bucket") > small_bucket).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    links = cut(verified(parts(paired.unionByName(stars)), plain, idf, threshold, link_by), "links")
 
-    many = members.where(F.col("n") > small_bucket)
+    many = members.where(F.col("in_bucket") > small_bucket)
     if not many.isEmpty():
         found = components(links)
-        placed = cut(many.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+        placed = many.select("bucket", "rep", "n", "weight", "hub").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = cut(placed, "placed")
         hubs = placed.where("rep = hub").select("bucket", F.col("component").alias("hub_component"))
-        rest = placed.join(hubs, "bucket").where("component <> hub_component").select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
-        others = placed.where("rep <> hub").select("bucket", F.col("rep").alias("b"), "component")
-        others = rest.join(others, "bucket").where("component <> component_a").select("a", "b")
-        links = cut(links.unionByName(verified(parts(others), plain, idf, threshold)), "links")
+        placed = cut(salted_join(placed, hubs, "bucket", F.col("rep")), "placed")
+        rest = placed.where("component <> hub_component").select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"), F.col("weight").alias("weight_a"))
+        others = placed.where("rep <> hub").select("bucket", F.col("rep").alias("b"), "component", "n", "weight")
+        # every row of a bucket's rest meets every other row of it, spread over salts by the latter
+        others = others.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        met = rest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(others, ["bucket", "_salt"])
+        # the smaller sum over the larger one bounds either similarity; what the sums may lack by rounding is let through
+        bound = lambda c: F.least(c, f"{c}_a") >= F.greatest(c, f"{c}_a") * (threshold - 1e-6)
+        fits = F.lit(False)
+        for measure, c in (("weighted", "weight"), ("plain", "n")):
+            fits = fits | bound(c) if measure in link_by else fits
+        met = met.where((F.col("component") != F.col("component_a")) & fits).select("a", "b")
+        links = cut(links.unionByName(verified(parts(met), plain, idf, threshold, link_by)), "links")
     found = components(links)
     # a repeated id ties all of its texts to one class
-    joined = signed.select("id", "same").join(copies, "same", "left")
-    ties = joined.where("id is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    repeated = ties.join(joined.where("id = rep").select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    ties = with_rep.where("id is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    repeated = ties.join(with_rep.where("id = rep").select(F.col("id").alias("a")).distinct(), "a", "left_semi")
     if not repeated.isEmpty():
         found = components(links.unionByName(repeated))
-    classes = joined.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")))
+    found = cut(found.withColumnRenamed("id", "rep"), "classes")
+    classes = salted_join(with_rep.select("id", "rep"), found, "rep", F.col("id"), "left")
+    classes = classes.withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")))
     return classes.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 

@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from quillspark.llm import common
 from quillspark.llm import near_dup as nd
 from quillspark.llm.shingles import shingles_of, words_by_text
 
@@ -29,9 +31,17 @@ def shingles(t):
     return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else Counter()
 
 
-def classes(rows, threshold=0.8):
-    """Transitive closure of equal words, or plain Jaccard at the threshold, over all pairs."""
-    sets = [(i, t, shingles(t)) for i, t in rows]
+def idf(rows):
+    """ln(1 + N / df) of every word, by counting."""
+    df = Counter(w for _, t in rows for w in set(re.findall(r"\w+", (t or "").lower())))
+    return {w: np.log1p(len(rows) / n) for w, n in df.items()}
+
+
+def classes(rows, threshold=0.8, measure="plain"):
+    """Transitive closure of equal words, or of the measure's Jaccard similarity at the threshold, over all pairs."""
+    of = idf(rows)
+    weigh = (lambda s: {x: n * sum(of[w] for w in x) / len(x) for x, n in s.items()}) if measure == "weighted" else (lambda s: s)
+    sets = [(i, t, weigh(shingles(t)), shingles(t)) for i, t in rows]
     low = {i: i for i, _ in rows}
 
     def find(x):
@@ -39,12 +49,13 @@ def classes(rows, threshold=0.8):
             x = low[x]
         return x
 
-    for a, (i, s, x) in enumerate(sets):
-        for j, t, y in sets[a + 1 :]:
-            both = sum((x | y).values())
-            if (both and sum((x & y).values()) / both >= threshold) or (not both and (s or "") == (t or "")):
-                p, q = sorted((find(i), find(j)))
-                low[q] = p
+    for a, (i, s, x, p) in enumerate(sets):
+        for j, t, y, q in sets[a + 1 :]:
+            same = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+            both = sum(x.values()) + sum(y.values()) - same
+            if (both and same / both >= threshold) or (not both and (s or "") == (t or "")) or (p and p == q):
+                m, n = sorted((find(i), find(j)))
+                low[n] = m
     return {i: find(i) for i, _ in rows}
 
 
@@ -62,17 +73,37 @@ def corpus():
     return list(enumerate(rows))
 
 
-def test_against_all_pairs(spark):
+def together(c):
+    return {frozenset(i for i in c if c[i] == k) for k in set(c.values())}
+
+
+def inside(groups, whole):
+    return all(len({whole[i] for i in group}) == 1 for group in groups)
+
+
+@pytest.mark.parametrize("measure", nd.MEASURES)
+def test_each_measure_against_all_pairs(spark, measure):
+    rows = corpus()
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(build(spark, rows), small_bucket=4, link_by=(measure,)).collect()}
+    # hashed counters and single precision leave a thousandth of doubt at the threshold
+    assert inside(together(classes(rows, 0.801, measure)), got) and inside(together(got), classes(rows, 0.799, measure))
+
+
+def test_both_measures_against_all_pairs(spark):
     rows = corpus()
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(build(spark, rows), small_bucket=4).collect()}
-    want = classes(rows)
-    together = lambda c: {frozenset(i for i in c if c[i] == k) for k in set(c.values())}
-    # pairs just at the threshold may be linked by their weights alone: nothing that all pairs link may be apart
-    for group in together(want):
-        assert len({got[i] for i in group}) == 1
-    loose = classes(rows, 0.72)
-    for group in together(got):
-        assert len({loose[i] for i in group}) == 1
+    assert inside(together(classes(rows, 0.801)), got) and inside(together(classes(rows, 0.801, "weighted")), got)
+    assert inside(together(got), classes(rows, 0.75))
+
+
+def test_a_bucket_of_unlike_texts_and_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    base = text(60)
+    rows = [f"{base} {text(n)}" for n in range(0, 60, 2)] + [base] * 5 + [None] * 6
+    rows = list(enumerate(rows))
+    # one band of one sample: nearly all fall into one bucket, most of them unlike
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(build(spark, rows), samples=16, bands=16, small_bucket=2, link_by=("plain",)).collect()}
+    assert together(got) == together(classes(rows))
 
 
 def test_rows_nulls_and_repeats(spark):
