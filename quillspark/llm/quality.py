@@ -126,6 +126,22 @@ def _shards_of(line: np.ndarray, n_shards: int) -> np.ndarray:
     return np.array([zlib.crc32(chr(c).encode()) % n_shards for c in unique.tolist()], dtype=np.int64)[codes]
 
 
+def hashed(model: DataFrame) -> DataFrame:
+    """The model's rows with a hash in the place of the n-gram, as they are looked up: 12 bytes and their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, left = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("k", "is_left"))
+            grams, found = batch.column("gram"), np.zeros(batch.num_rows, dtype=np.uint64)
+            for n in np.unique(k - left).tolist():
+                at = np.flatnonzero(k - left == n)
+                found[at] = gram_keys(grams.take(pa.array(at)).to_pylist(), n)
+            ln_p = np.log(batch.column("p").to_numpy(zero_copy_only=False)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "model", "k", "is_left")), pa.array(found.view(np.int64)), pa.array(ln_p)], names=["shard", "model", "k", "is_left", "hash", "ln_p"])
+
+    return model.select("shard", "model", "k", "is_left", "gram", "p").mapInArrow(run, "shard int, model int, k int, is_left boolean, hash long, ln_p float")
+
+
 @functools.lru_cache(maxsize=1)
 def _loaded(path: str, shard: int) -> dict[int, Model]:
     """The models of one shard, once per Python worker."""
@@ -134,21 +150,22 @@ def _loaded(path: str, shard: int) -> dict[int, Model]:
 
     system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     partitions = ds.partitioning(pa.schema([("shard", pa.int32())]), flavor="hive")
-    rows = ds.dataset(root, filesystem=system, format="parquet", partitioning=partitions).to_table(columns=["model", "k", "gram", "p", "is_left"], filter=ds.field("shard").isin([-1, shard]))
-    models, k, left = (rows[c].to_numpy() for c in ("model", "k", "is_left"))
-    p = np.log(rows["p"].to_numpy())
-    found = {}
-    for model in np.unique(models).tolist():
-        tables: dict[bool, list[Table]] = {False: [], True: []}
-        floor = 0.0
-        for order in range(1, ORDER + 1):
-            for is_left in (False, True):
-                at = np.flatnonzero((models == model) & (k == order) & (left == is_left))
-                tables[is_left].append(Table(gram_keys(rows["gram"].take(pa.array(at)).to_pylist(), order - is_left), p[at]))
-                if order == 1 and not is_left:
-                    floor = -float(np.log(len(at) + 1))
-        found[model] = Model(tables[False], tables[True], floor)
-    return found
+    found: dict = {}
+    data = ds.dataset(root, filesystem=system, format="parquet", partitioning=partitions)
+    for batch in data.to_batches(columns=["model", "k", "is_left", "hash", "ln_p"], filter=ds.field("shard").isin([-1, shard]), batch_size=1 << 16, batch_readahead=1, fragment_readahead=1):
+        model, k, left, hashes, ln_p = (batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names)
+        part = (model.astype(np.int64) * (ORDER + 1) + k) * 2 + left
+        for key in np.unique(part).tolist():
+            at = part == key
+            found.setdefault(key, []).append((hashes[at].view(np.uint64), ln_p[at]))
+    tables = {key: Table(np.concatenate([h for h, _ in parts]), np.concatenate([p for _, p in parts])) for key, parts in found.items()}
+    none = Table(np.zeros(0, dtype=np.uint64), np.zeros(0))
+    models = {}
+    for model in {key // (2 * (ORDER + 1)) for key in tables}:
+        of = lambda k, left: tables.get((model * (ORDER + 1) + k) * 2 + left, none)  # noqa: E731, B023
+        orders = range(1, ORDER + 1)
+        models[model] = Model([of(k, 0) for k in orders], [of(k, 1) for k in orders], -float(np.log(len(of(1, 0).hashes) + 1)))
+    return models
 
 
 SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("half", pa.int32()), ("nll", pa.float64()), ("excess", pa.float64()), ("n", pa.int64())])
@@ -261,7 +278,7 @@ def classify(
     path = fresh_path(spark, "model")
     model = cut(fit(grams), "model")
     n_shards = max(1, -(-model.count() // shard_rows))
-    model.withColumn("shard", shard_of(n_shards)).repartition("shard").write.partitionBy("shard").parquet(path)
+    hashed(model.withColumn("shard", shard_of(n_shards))).repartition("shard").write.partitionBy("shard").parquet(path)
     present = {r["model"] for r in grams.select("model").distinct().collect()}  # four at most
     able, lean_able = {GOOD, GOOD + 1} <= present, {GOOD, GOOD + 1, BAD, BAD + 1} <= present
     if not present:
