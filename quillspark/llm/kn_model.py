@@ -5,14 +5,14 @@ number of different n-grams grows with the corpus, so the tables come in shards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 
 ORDER = 5
 START, END = "\x02", "\x03"
-SLICE = 1 << 20
+SLICE = 1 << 19
 UNKNOWN = np.uint32(0xFFFD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,7 +45,7 @@ def pieces(text: str) -> Iterator[np.ndarray]:
         yield line
 
 
-def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def slices(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(characters, owner, places): pieces of several texts in one line of about ``SLICE``, the places of the
     characters that count, and the number of the text that each belongs to."""
     lines: list[np.ndarray] = []
@@ -115,7 +115,7 @@ class Table:
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
+        self.hashes, self.values = hashes[order], values[order].astype(np.float32, copy=False)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which are here, the values of those)."""

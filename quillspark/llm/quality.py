@@ -46,7 +46,7 @@ from .common import cut, fresh_path, if_small, packed, spread, table
 from .kn_model import ORDER, Model, Table, different, discounts, gram_keys, slices, strings
 
 SALTS = 8
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 5_000_000  # of 12 bytes
 GOOD, BAD = 0, 2  # the models of the first halves; the second halves' follow
 
 
@@ -71,10 +71,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models = np.array(batch.column("model").to_pylist(), dtype=np.int64)
-            texts = batch.column("text").to_pylist()
+            models = batch.column("model").to_numpy(zero_copy_only=False)
+            texts = batch.column("text")
             for model in np.unique(models):
-                for line, _, places in slices([texts[i] for i in np.flatnonzero(models == model)]):
+                for line, _, places in slices(texts[i].as_py() for i in np.flatnonzero(models == model).tolist()):
                     first, codes = different(line, places)
                     counts = np.bincount(codes)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), model, dtype=np.int32)), pa.array(strings(line, first), pa.string()), pa.array(counts)], schema=schema)
@@ -158,7 +158,13 @@ def _loaded(path: str, shard: int) -> dict[int, Model]:
         for key in np.unique(part).tolist():
             at = part == key
             found.setdefault(key, []).append((hashes[at].view(np.uint64), ln_p[at]))
-    tables = {key: Table(np.concatenate([h for h, _ in parts]), np.concatenate([p for _, p in parts])) for key, parts in found.items()}
+        del batch, model, k, left, hashes, ln_p, part
+    tables = {}
+    for key in list(found):  # one after the other, so that little is held twice
+        parts = found.pop(key)
+        tables[key] = Table(np.concatenate([h for h, _ in parts]), np.concatenate([p for _, p in parts]))
+        del parts
+    pa.default_memory_pool().release_unused()
     none = Table(np.zeros(0, dtype=np.uint64), np.zeros(0))
     models = {}
     for model in {key // (2 * (ORDER + 1)) for key in tables}:
@@ -182,7 +188,7 @@ def perplexity(docs: DataFrame, model_path: str, n_shards: int) -> DataFrame:
             for batch in batches:
                 halves = np.array(batch.column("half").to_pylist(), dtype=np.int64)
                 sums, excess, sizes = (np.zeros(batch.num_rows) for _ in range(3))
-                for line, owner, places in slices(batch.column("text").to_pylist()):
+                for line, owner, places in slices(text.as_py() for text in batch.column("text")):
                     if n_shards > 1:
                         mine = np.flatnonzero(_shards_of(line, n_shards)[places - 1] == shard)
                         owner, places = owner[mine], places[mine]
