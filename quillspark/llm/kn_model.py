@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -91,8 +91,9 @@ def gram_keys(grams: list[str], k: int) -> np.ndarray:
 
 def different(line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of each different n-gram, number of the n-gram at each place)."""
-    codes, unique = pd.factorize(keys(line, places, ORDER))
-    first = np.empty(len(unique), dtype=np.int64)
+    coded = pa.array(keys(line, places, ORDER)).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), dtype=np.int64)
     first[codes[::-1]] = places[::-1]
     return first, codes
 
