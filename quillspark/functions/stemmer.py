@@ -6,6 +6,7 @@ A ``y`` is a consonant at the start and after a vowel; digits are consonants."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -92,3 +93,13 @@ def add_stem(tokens: DataFrame, token: str = "token", stem: str = "stem") -> Dat
     for step in steps(spark_match):
         word = f"transform(array({word}), w -> {step})[0]"
     return tokens.withColumn(stem, F.expr(f"CASE WHEN NOT {stemmable(spark_match, token)} THEN {token} ELSE coalesce({fixed(token)}, {word}) END"))
+
+
+def add_stem_stepwise(tokens: DataFrame, token: str = "token", stem: str = "stem") -> DataFrame:
+    """As ``add_stem``, but each step is a projection of its own, which reads the last one's word several times and so is
+    compiled and not folded into the next. For tables that are written as they are: a filter on the stem would move into
+    the steps and multiply them."""
+    found = tokens.withColumn("_word", F.col(token))
+    for step in steps(spark_match):
+        found = found.withColumn("_word", F.expr(re.sub(r"\bw\b", "_word", step)))
+    return found.withColumn(stem, F.expr(f"CASE WHEN NOT {stemmable(spark_match, token)} THEN {token} ELSE coalesce({fixed(token)}, _word) END")).drop("_word")

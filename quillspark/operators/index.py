@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import SHIFTED, check_method, nonoccurrence_tfc, score_idf, score_tfc
-from ..functions.stemmer import add_stem
+from ..functions.stemmer import add_stem_stepwise
 from ..functions.text import ENGLISH_STOPWORDS, Stopwords, tokenise
+from ..sources.shared import cut, if_small
 
 Stemmer = str | Callable[[str], str] | None
 
@@ -59,9 +60,9 @@ def tokens_of(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def stem_map(tokens: DataFrame, stemmer: Stemmer) -> DataFrame:
-    """``(token, stem)`` over distinct ``tokens(token)``."""
+    """``(token, stem)`` over distinct ``tokens(token)``, to be cut before anything filters on the stem."""
     if stemmer == "porter":
-        return add_stem(tokens)
+        return add_stem_stepwise(tokens)
     if callable(stemmer):
         @F.pandas_udf("string")
         def apply(words: pd.Series) -> pd.Series:
@@ -75,14 +76,24 @@ def stemmed(counts: DataFrame, stemmer: Stemmer, keys: list[str]) -> DataFrame:
     """Replaces ``token`` by its stem in ``counts(*keys, token, tf)`` and adds up what falls together."""
     if stemmer is None:
         return counts
-    stems = stem_map(counts.select("token").distinct(), stemmer)
-    return counts.join(stems, "token").groupBy(*keys, F.col("stem").alias("token")).agg(F.sum("tf").alias("tf"))
+    stems = cut(stem_map(counts.select("token").distinct(), stemmer), "stems")
+    return counts.join(if_small(stems), "token").groupBy(*keys, F.col("stem").alias("token")).agg(F.sum("tf").alias("tf"))
 
 
-def term_frequencies(tokens: DataFrame, stemmer: Stemmer = None) -> DataFrame:
-    """``(doc_id, l_d, token, tf)``; the document's length travels with its tokens, so it needs no join later."""
-    counts = tokens.select("doc_id", F.size("tokens").alias("l_d"), F.explode("tokens").alias("token")).groupBy("doc_id", "l_d", "token").agg(F.count("*").alias("tf"))
-    return stemmed(counts, stemmer, ["doc_id", "l_d"])
+def term_frequencies(tokens: DataFrame, stemmer: Stemmer = None, only: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, l_d, token, tf)``; the document's length travels with its tokens, so it needs no join later.
+
+    With ``only(token)`` just those tokens (stems) are counted; each token of the corpus is stemmed once."""
+    rows = tokens.select("doc_id", F.size("tokens").alias("l_d"), F.explode("tokens").alias("token"))
+    wanted = None if only is None else if_small(cut(only.select("token").distinct(), "wanted"))
+    if stemmer is None:
+        rows = rows if wanted is None else rows.join(wanted, "token", "left_semi")
+        return rows.groupBy("doc_id", "l_d", "token").agg(F.count("*").alias("tf"))
+    if wanted is None:
+        return stemmed(rows.groupBy("doc_id", "l_d", "token").agg(F.count("*").alias("tf")), stemmer, ["doc_id", "l_d"])
+    stems = cut(stem_map(rows.select("token").distinct(), stemmer), "stems")  # a filter on stems must not move into the steps
+    stems = stems.join(wanted.select(F.col("token").alias("stem")), "stem", "left_semi")
+    return rows.join(if_small(stems), "token").groupBy("doc_id", "l_d", F.col("stem").alias("token")).agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -104,21 +115,45 @@ def postings(tf: DataFrame, terms: DataFrame, l_avg: float, config: Config) -> D
     return tf.join(terms, "token").select("token", "doc_id", "tf", score.alias("score"))
 
 
-def build_index(tokens: DataFrame, config: Config = Config(), stemmer: Stemmer = None) -> Index:
-    """An index over ``tokens(doc_id, tokens)``. The corpus' two numbers are the only thing computed at once."""
-    tf = term_frequencies(tokens, stemmer)
+def build_index(tokens: DataFrame, config: Config = Config(), stemmer: Stemmer = None, only: DataFrame | None = None) -> Index:
+    """An index over ``tokens(doc_id, tokens)``. Term frequencies are cut once, for terms and postings, and the corpus' two
+    numbers are computed at once. With ``only(token)`` it holds no other terms: enough to answer queries of those."""
+    tf = cut(term_frequencies(tokens, stemmer, only), "tf")
     stats = corpus_stats(tokens).first()
     n_docs, l_avg = stats["n_docs"], stats["l_avg"]
     terms = term_stats(tf, n_docs, config)
     return Index(config, postings(tf, terms, l_avg, config), terms, tokens.select("doc_id", F.size("tokens").alias("l_d")), n_docs, l_avg)
 
 
+def with_absent(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``terms`` and a row with df, idf and nonoccurrence 0 for each token of ``vocab(token)`` that no document has."""
+    zero = F.lit(0.0)
+    absent = vocab.select("token").distinct().join(terms.select("token"), "token", "left_anti")
+    shifted = F.when(F.lit(terms.where("nonoccurrence is not null").isEmpty()), F.lit(None).cast("double")).otherwise(zero)
+    return terms.unionByName(absent.select("token", F.lit(0).cast("long").alias("df"), zero.alias("idf"), shifted.alias("nonoccurrence")))
+
+
+def running(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows before in the order of the unique numbers ``order``.
+
+    Rows are cut into ranges of ``RANGE`` numbers; only the ranges' totals are added up in one task."""
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / RANGE))
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.join(totals, "_range").withColumn(name, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
+    return summed.drop("_range", "_base")
+
+
+RANGE = 1 << 16
+
+
 def column_pointers(vocab: DataFrame, counts: DataFrame) -> DataFrame:
     """``(token_id, indptr)``: where each term's postings begin in term order, and one row for their end.
 
     ``counts(token_id, df)`` may lack terms, which then have empty columns."""
     dense = vocab.select("token_id").join(counts, "token_id", "left").select("token_id", F.coalesce("df", F.lit(0)).alias("df"))
-    before = Window.orderBy("token_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dense.select("token_id", F.coalesce(F.sum("df").over(before), F.lit(0)).cast("long").alias("indptr"))
+    starts = running(dense, "token_id", "df", "indptr").select("token_id", "indptr")
     end = dense.agg(F.count("*").cast("int").alias("token_id"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("indptr"))
     return starts.unionByName(end)

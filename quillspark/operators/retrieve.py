@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import if_small
 from .index import Index, Stemmer, stemmed
 
-#: Query terms are broadcast up to so many rows; a larger batch is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 DIGITS = 6
 
 
@@ -18,12 +17,6 @@ def query_terms(tokens: DataFrame, stemmer: Stemmer = None) -> DataFrame:
     return stemmed(counts, stemmer, ["query_id"])
 
 
-def _checked_broadcast(terms: DataFrame) -> DataFrame:
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return F.broadcast(terms)
-    return terms
-
-
 def accumulate(postings: DataFrame, terms: DataFrame, key: str = "token") -> DataFrame:
     """``(query_id, doc_id, score)``: the sum over the query's terms, repeats included."""
     joined = postings.join(terms.select("query_id", key, F.col("tf").alias("qtf")), key)
@@ -38,14 +31,16 @@ def offsets(terms: DataFrame, index: Index) -> DataFrame:
 
 def score(index: Index, terms: DataFrame, *, add_offset: bool = True) -> DataFrame:
     """``(query_id, doc_id, score)`` of documents with at least one of the query's terms; unknown terms drop out."""
-    scores = accumulate(index.postings, _checked_broadcast(terms))
+    scores = accumulate(index.postings, if_small(terms))
     if not (add_offset and index.config.shifted):
         return scores
     return scores.join(offsets(terms, index), "query_id").select("query_id", "doc_id", (F.col("score") + F.col("offset")).alias("score"))
 
 
 def add_priors(priors: DataFrame, scores: DataFrame) -> DataFrame:
-    """``priors(doc_id, prior)`` plus ``scores(doc_id, score)``, for every document of ``priors``."""
+    """``priors(doc_id, prior)`` plus ``scores(doc_id, score)``, for every document of ``priors``, which must hold floats."""
+    if dict(priors.dtypes).get("prior") not in ("float", "double"):
+        raise ValueError("priors must be a column of floats")
     return priors.join(scores, "doc_id", "left").select("doc_id", (F.col("prior") + F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
@@ -88,9 +83,9 @@ def filled(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, offset:
     At most k hits are in the way of a query, so its fillers are among the first 2 k documents: those
     few (checked by k, not by the corpus) meet the queries, and no other document does."""
     short = queries.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
-    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids"))
-    ids = first.first()["ids"]
-    fillers = short.withColumn("doc_id", F.explode(F.array(*(F.lit(i) for i in ids)))) if ids else short.withColumn("doc_id", F.lit(None)).limit(0)
+    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k)
+    first = first.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("_nth"))  # 2 k rows at most
+    fillers = short.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.lit(2 * k)))).join(first, "_nth").drop("_nth")
     fillers = fillers.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     fillers = fillers.withColumn("rank", (F.col("n") + nth).cast("long")).where(F.col("rank") <= k)
@@ -134,4 +129,4 @@ def score_matrix(matrix: DataFrame, query_ids: DataFrame, n_vocab: int) -> DataF
     if dict(matrix.dtypes)["score"] != "float":
         raise ValueError("the score matrix must hold 32-bit floats")
     terms = check_ids(query_ids, n_vocab).groupBy("query_id", "token_id").agg(F.count("*").alias("tf"))
-    return accumulate(matrix, _checked_broadcast(terms), "token_id").withColumn("score", F.col("score").cast("float"))
+    return accumulate(matrix, if_small(terms), "token_id").withColumn("score", F.col("score").cast("float"))

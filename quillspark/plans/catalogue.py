@@ -12,6 +12,7 @@ from ..functions.text import jaccard, tokenise
 from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..operators.vocab import build_vocab, encode
+from ..sources.shared import cut, in_all_cores, shared_path
 from . import oracles as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,7 @@ def plain(method: str) -> str:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.tokens_of(table(spark, sf_dir, "documents"))
+    return ix.tokens_of(in_all_cores(table(spark, sf_dir, "documents")))
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str, stemmer: ix.Stemmer = None) -> DataFrame:
@@ -48,8 +49,9 @@ def benchmark_terms(spark: SparkSession, sf_dir: str, stemmer: ix.Stemmer = None
 
 
 def search(spark: SparkSession, sf_dir: str, config: ix.Config = ix.Config(), k: int = 10, stemmer: ix.Stemmer = None) -> DataFrame:
-    index = ix.build_index(corpus(spark, sf_dir), config, stemmer)
-    return rt.top_k(rt.score(index, benchmark_terms(spark, sf_dir, stemmer)), k, rt.DIGITS)
+    terms = cut(benchmark_terms(spark, sf_dir, stemmer), "query-terms")
+    index = ix.build_index(corpus(spark, sf_dir), config, stemmer, only=terms)
+    return rt.top_k(rt.score(index, terms), k, rt.DIGITS)
 
 
 # tokenising
@@ -58,7 +60,7 @@ def search(spark: SparkSession, sf_dir: str, config: ix.Config = ix.Config(), k:
 def _tokenised(name: str, oracle_options: dict, **options) -> None:
     @register(name, f"WITH {sql.corpus(**oracle_options)} SELECT doc_id, len(tokens)::BIGINT AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM corpus")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = ix.tokens_of(table(spark, sf_dir, "documents"), **options)
+        found = ix.tokens_of(in_all_cores(table(spark, sf_dir, "documents")), **options)
         return found.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -324,15 +326,17 @@ CONVERSATIONS = {"table": "(SELECT conv_id, string_agg(text, ' ' ORDER BY turn,
 def conversations_search(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # turns of one conversation
     whole = turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), " ").alias("text"))
-    index = ix.build_index(ix.tokens_of(whole, id_col="conv_id"))
-    return rt.top_k(rt.score(index, benchmark_terms(spark, sf_dir)), 10, rt.DIGITS)
+    terms = cut(benchmark_terms(spark, sf_dir), "query-terms")
+    index = ix.build_index(ix.tokens_of(whole, id_col="conv_id"), only=terms)
+    return rt.top_k(rt.score(index, terms), 10, rt.DIGITS)
 
 
 @register("pages_search", sql.top_k("lucene", table="pages", doc_id="page_id", text="regexp_replace(html, '<[^>]*>', ' ', 'g')"))
 def pages_search(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
-    index = ix.build_index(ix.tokens_of(pages, id_col="page_id"))
-    return rt.top_k(rt.score(index, benchmark_terms(spark, sf_dir)), 10, rt.DIGITS)
+    pages = in_all_cores(table(spark, sf_dir, "pages")).select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    terms = cut(benchmark_terms(spark, sf_dir), "query-terms")
+    index = ix.build_index(ix.tokens_of(pages, id_col="page_id"), only=terms)
+    return rt.top_k(rt.score(index, terms), 10, rt.DIGITS)
 
 
 @register("smoke_sum", "SELECT sum(i)::BIGINT AS total FROM range(1, 5) t(i)")
@@ -346,12 +350,8 @@ def smoke_sum(spark, sf_dir):
 @register("index_roundtrip", sql.top_k("lucene"))
 def index_roundtrip(spark, sf_dir):
     """Saves an index, loads it, and searches what was loaded."""
-    import tempfile
-    import uuid
-
     from ..sources.index_store import load_index, save_index
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-index-")
-    path = f"{shared}/index-{uuid.uuid4().hex}"
+    path = shared_path(spark, "index")
     save_index(ix.build_index(corpus(spark, sf_dir)), path)
     return rt.top_k(rt.score(load_index(spark, path), benchmark_terms(spark, sf_dir)), 10, rt.DIGITS)

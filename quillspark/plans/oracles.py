@@ -43,13 +43,13 @@ def absent(method: str, k1: float, delta: float) -> float:
 
 
 def corpus(table: str = "documents", doc_id: str = "doc_id", text: str = "text", **options) -> str:
-    return f"corpus AS (SELECT {doc_id} AS doc_id, {tokens(text, **options)} AS tokens FROM {table})"
+    return f"corpus AS MATERIALIZED (SELECT {doc_id} AS doc_id, {tokens(text, **options)} AS tokens FROM {table})"
 
 
 def raw_terms(stem: bool = False) -> str:
     base = "raw AS (SELECT doc_id, len(tokens) AS l_d, unnest(tokens) AS token FROM corpus)"
     if not stem:
-        return f"{base}, tf AS (SELECT doc_id, l_d, token, count(*) AS tf FROM raw GROUP BY ALL)"
+        return f"{base}, tf AS MATERIALIZED (SELECT doc_id, l_d, token, count(*) AS tf FROM raw GROUP BY ALL)"
     return f"{base}, words AS (SELECT DISTINCT token FROM raw), {stems('words')}, tf AS (SELECT doc_id, l_d, stem AS token, count(*) AS tf FROM raw JOIN stems USING (token) GROUP BY ALL)"
 
 

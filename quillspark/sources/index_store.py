@@ -62,7 +62,7 @@ def save_index(index: Index, path: str, **extras) -> None:
     system, target = _hadoop(spark, path)
     _, temporary = _hadoop(spark, staging)
     system.delete(temporary, True)
-    index.postings.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.parquet(f"{staging}/postings")
+    index.postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{staging}/postings")
     terms = index.terms if index.config.shifted else index.terms.withColumn("nonoccurrence", F.lit(None).cast("double"))
     terms.write.parquet(f"{staging}/terms")
     index.docs.write.parquet(f"{staging}/docs")
