@@ -14,7 +14,8 @@ or toxic 1. Each is fitted in two halves, and every document is compared with th
 that it does not belong to; so all trusted documents are held out, and all of them set the thresholds:
 
 * score: the mean -ln P under the trusted model, for short texts drawn towards the language's median as
-  if ``prior_chars`` more characters had that mean;
+  if ``prior_chars`` more characters had that mean; up to ``odd_chars`` characters of more than ``ODD`` nats (a
+  name, an address, a password in a clean text) are left out of the mean;
 * lean: by how much characters are likelier in bad text than in trusted text, as far as that exceeds
   1 nat; summed, less the language's mean, over its standard deviation for a text of n characters, as the
   root of n + ``prior_chars`` + n^2 / ``even_chars``: chance evens out along a text, a text's own style does not.
@@ -47,6 +48,7 @@ from .kn_model import ORDER, Model, Table, different, discounts, gram_keys, slic
 
 SALTS = 8
 SHARD_ROWS = 5_000_000  # of 12 bytes
+ODD = 3.0
 GOOD, BAD = 0, 2  # the models of the first halves; the second halves' follow
 
 
@@ -174,20 +176,20 @@ def _loaded(path: str, shard: int) -> dict[int, Model]:
     return models
 
 
-SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("half", pa.int32()), ("nll", pa.float64()), ("excess", pa.float64()), ("n", pa.int64())])
+SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("half", pa.int32()), ("nll", pa.float64()), ("excess", pa.float64()), ("n", pa.int64()), ("odd", pa.int64()), ("odd_nll", pa.float64())])
 
 
 def perplexity(docs: DataFrame, model_path: str, n_shards: int) -> DataFrame:
-    """``(id, lang, text_key, half, nll, excess, n)`` of ``docs(id, lang, text_key, text)``: over the n characters of the whole
+    """``(id, lang, text_key, half, nll, excess, n, odd, odd_nll)`` of ``docs(id, lang, text_key, text)``: over the n characters of the whole
     text and its end the sum of -ln P under the trusted model of the other half, and the sum of what -ln P exceeds that of bad
-    text by, beyond 1. With several shards a row is the part of one shard."""
+    text by, beyond 1; and the number and -ln P of characters beyond ODD. With several shards a row is the part of one shard."""
 
     def scan(shard: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             models = _loaded(model_path, shard)
             for batch in batches:
                 halves = np.array(batch.column("half").to_pylist(), dtype=np.int64)
-                sums, excess, sizes = (np.zeros(batch.num_rows) for _ in range(3))
+                sums, excess, sizes, odd, odd_sums = (np.zeros(batch.num_rows) for _ in range(5))
                 for line, owner, places in slices(text.as_py() for text in batch.column("text")):
                     if n_shards > 1:
                         mine = np.flatnonzero(_shards_of(line, n_shards)[places - 1] == shard)
@@ -205,7 +207,10 @@ def perplexity(docs: DataFrame, model_path: str, n_shards: int) -> DataFrame:
                     sums += np.bincount(owner, good, batch.num_rows)
                     excess += np.bincount(owner, np.maximum(good - bad - 1, 0), batch.num_rows)
                     sizes += np.bincount(owner, minlength=batch.num_rows)
-                arrays = [batch.column(c) for c in ("id", "lang", "text_key", "half")] + [pa.array(sums), pa.array(excess), pa.array(sizes.astype(np.int64))]
+                    strange = good > ODD
+                    odd += np.bincount(owner[strange], minlength=batch.num_rows)
+                    odd_sums += np.bincount(owner[strange], good[strange], batch.num_rows)
+                arrays = [batch.column(c) for c in ("id", "lang", "text_key", "half")] + [pa.array(sums), pa.array(excess), pa.array(sizes.astype(np.int64)), pa.array(odd.astype(np.int64)), pa.array(odd_sums)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=SCORES)
 
         return run
@@ -213,7 +218,7 @@ def perplexity(docs: DataFrame, model_path: str, n_shards: int) -> DataFrame:
     rows = docs.select("id", "lang", "text_key", half_of("id").alias("half"), "text")
     found = None
     for shard in range(n_shards):
-        part = rows.mapInArrow(scan(shard), "id long, lang string, text_key long, half int, nll double, excess double, n long")
+        part = rows.mapInArrow(scan(shard), "id long, lang string, text_key long, half int, nll double, excess double, n long, odd long, odd_nll double")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -272,6 +277,7 @@ def classify(
     tail: float = 1e-4,
     prior_chars: int = 100,
     even_chars: int = 3_000,
+    odd_chars: int = 24,
     prior_docs: int = 20,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
@@ -288,16 +294,16 @@ def classify(
     present = {r["model"] for r in grams.select("model").distinct().collect()}  # four at most
     able, lean_able = {GOOD, GOOD + 1} <= present, {GOOD, GOOD + 1, BAD, BAD + 1} <= present
     if not present:
-        scored = plain.select("id", "lang", "text_key", F.lit(0.0).alias("nll"), F.lit(0.0).alias("excess"), F.lit(1).cast("long").alias("n"), (F.col("text") == "").alias("empty"))
+        scored = plain.select("id", "lang", "text_key", F.lit(0.0).alias("nll"), F.lit(0.0).alias("excess"), F.lit(1).cast("long").alias("n"), F.lit(0).alias("odd"), F.lit(0.0).alias("odd_nll"), (F.col("text") == "").alias("empty"))
     else:
         scored = perplexity(plain, path, n_shards)
         if n_shards > 1:  # equal rows have equal sums: they are added up as one and counted
-            scored = scored.groupBy("id", "lang", "text_key").agg(F.sum("nll").alias("nll"), F.sum("excess").alias("excess"), F.sum("n").alias("n"))
+            scored = scored.groupBy("id", "lang", "text_key").agg(*(F.sum(c).alias(c) for c in ("nll", "excess", "n", "odd", "odd_nll")))
             copies = plain.groupBy("id", "lang", "text_key").agg(F.count("*").alias("copies"))
             same = F.col("id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("text_key") == F.col("_key"))
             copies = copies.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_key"), "copies")
-            scored = scored.join(copies, same).select("id", "lang", "text_key", *((F.col(c) / F.col("copies")).alias(c) for c in ("nll", "excess", "n")), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")
-        scored = scored.select("id", "lang", "text_key", "nll", "excess", "n", (F.col("n") == 1).alias("empty"))
+            scored = scored.join(copies, same).select("id", "lang", "text_key", *((F.col(c) / F.col("copies")).alias(c) for c in ("nll", "excess", "n", "odd", "odd_nll")), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")
+        scored = scored.select("id", "lang", "text_key", "nll", "excess", "n", "odd", "odd_nll", (F.col("n") == 1).alias("empty"))
     scored = cut(scored.withColumn("mean", F.col("nll") / F.col("n")), "scored")
     trusted = ids.where(F.col("model") < BAD).select("id")
     is_held = lambda rows: rows.join(if_small(trusted), "id", "left_semi")
@@ -309,7 +315,8 @@ def classify(
     prior = prior_docs * chars  # characters
     rates = rates.where("lang is not null").select("lang", ((F.col("e") + usual * prior) / (F.col("c") + prior)).alias("rate"))
     rows = with_languages(scored, means.by_language.join(rates, "lang", "left"))
-    rows = rows.withColumn("score", (F.col("nll") + means.middle() * prior_chars) / (F.col("n") + prior_chars))
+    left_out = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(float(odd_chars)), F.col("odd").cast("double")), F.lit(1.0)))
+    rows = rows.withColumn("score", (F.col("nll") - F.col("odd_nll") * left_out + means.middle() * prior_chars) / (F.col("n") - F.col("odd") * left_out + prior_chars))
     rows = rows.withColumn("lean", (F.col("excess") - F.coalesce("rate", F.lit(usual)) * F.col("n")) / F.sqrt(F.col("n") + prior_chars + F.col("n") * F.col("n") / even_chars))
     rows = cut(rows.select("id", "lang", "text_key", "mean", "score", "lean", "empty"), "drawn")
     held = cut(is_held(rows), "held")
