@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import weakref
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,30 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Tables cut in this context go to Python in batches of ``size`` instead of the session's (64 MB, held by either side)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+held_by_worker: list[Callable[[], None]] = []  # what forgets tables that an operator keeps between tasks
+
+
+def free_memory() -> None:
+    """Gives back what this Python worker keeps: operators' tables, and what was freed but not returned to the system."""
+    for forget in held_by_worker:
+        forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not the C library of GNU
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 BROADCAST_ROWS = 1_000_000
 
 

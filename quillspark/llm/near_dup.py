@@ -10,11 +10,13 @@ are verified exactly on their whole texts, and linked classes are closed under l
   proven size of what is broadcast.
 * Texts with the same words fall into one by a digest before anything else; copies are never paired.
 * A bucket of up to ``small_bucket`` documents is paired fully. In a larger one every document is
-  first verified against the bucket's smallest; documents that this leaves in another class are then
-  paired with every document of the bucket that is not in their class. No pair that could join two
-  classes is left out, and a bucket of copies costs one pair per document.
-  Of these only pairs are made whose sizes allow the threshold: the smaller weight (or number) of shingles is
-  at least ``threshold`` times the larger.
+  first verified against the bucket's smallest; documents that this leaves in another class then meet
+  every document of the bucket that is not in their class. No pair that could join two classes is left
+  out, and a bucket of copies costs one pair per document.
+  Unlike documents of a large bucket meet in blocks, by sketches: the shingles' hashes cut to cells, with
+  their weights and counts. The weight of one document in cells that the other has, as a matrix product, is
+  at least the weight they share, so only pairs are made that this bound, from either side, lets reach
+  ``threshold``. Texts of such a bucket are read once for their sketches, not once for each pair.
 * A text that many pairs need, on either side, is salted by its number of pairs; rows of a digest or a
   bucket that a third of all rows share are salted in every join with it, or its few keys are broadcast.
 
@@ -42,13 +44,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, if_small, in_bitmap, key_bitmap, packed, salted_join, table
-from .shingles import _MIX, _STEP, SHINGLE, mix64, shingles_of, words_by_text
+from .common import arrow_batches, components, cut, free_memory, if_small, in_bitmap, key_bitmap, packed, salted_join, table
+from .shingles import _MIX, _STEP, mix64, shingles_of, words_by_text
 
 COUNTERS = 1 << 18
 PIECE = 1024
 PAIRS_PER_TEXT = 2048
-SALTS = 8
+BATCH = "4m"  # of texts in a Python worker
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 4 << 20
+CELLS = 1 << 16  # of a sketch at most; beyond that the bound is wider, never lower
+DENSE = 1 << 20  # cells of all documents of a matrix
+ROUNDING = 1e-3  # what single precision may take off a bound
 
 
 class Sampler:
@@ -134,6 +141,7 @@ def word_idf(docs: DataFrame) -> np.ndarray:
             for words in words_by_text(batch.column("text")):
                 counts[np.unique((words & np.uint64(COUNTERS - 1)).astype(np.int64))] += 1
         at = np.flatnonzero(counts)
+        free_memory()
         schema = pa.schema([("counter", pa.int32()), ("n", pa.int64())])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], n))], schema=schema)
 
@@ -146,28 +154,26 @@ def word_idf(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, samples: int, bands: int) -> DataFrame:
-    """``(id, same, bands, n, weight)`` of ``docs(id, text)``: the digest of the words, the band hashes, the number and the weight of the shingles."""
+    """``(id, same, bands)`` of ``docs(id, text)``: the digest of the words and the band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(samples, bands), idf.value
-        schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64())), ("n", pa.int64()), ("weight", pa.float64())])
+        schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            same, found, sizes, sums = [], [], [], []
+            same, found = [], []
             texts = batch.column("text")
             for i, words in enumerate(words_by_text(texts)):
-                sizes.append(max(1, len(words) - SHINGLE + 1))
                 if len(words):
                     same.append(xxhash.xxh3_128_digest(words.tobytes()))
                     keys, weights, _ = weighted(words, table)
-                    sums.append(float(weights.sum()))
                     found.append(sampler.draw(keys, weights).astype(np.int64))
                 else:
                     same.append(xxhash.xxh3_128_digest(texts[i].as_py().encode("utf-8", "surrogatepass"), seed=1))
                     found.append(None)
-                    sums.append(0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+        free_memory()
 
-    return docs.mapInArrow(run, "id long, same binary, bands array<long>, n long, weight double")
+    return docs.mapInArrow(run, "id long, same binary, bands array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -178,6 +184,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             kept = [i for i, x in enumerate(batch.column("id").to_pylist()) if x is not None and in_bitmap(bitmap.value, str(x))]
             yield batch.take(pa.array(kept, pa.int64()))
+        free_memory()
 
     passed = docs.mapInArrow(run, "id long, text string")
     return cut(passed.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
@@ -186,6 +193,117 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 MEASURES = ("weighted", "plain")
 
 
+def rounded_up(x: np.ndarray) -> np.ndarray:
+    """Half-precision numbers that are at least ``x``; infinity beyond their range."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    return np.where(half < x, np.nextafter(half, np.float16(np.inf)), half)
+
+
+def sketches(texts: DataFrame, idf) -> DataFrame:
+    """``(rep, sketch)`` of ``texts(id, text)``: the low half of every shingle's hash, its weight and its count, the two rounded up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
+        schema = pa.schema([("rep", pa.int64()), ("sketch", pa.binary())])
+        for batch in batches:
+            found = []
+            for words in words_by_text(batch.column("text")):
+                keys, weights, counts = weighted(words, table)
+                found.append(keys.astype(np.uint32).tobytes() + rounded_up(weights).tobytes() + rounded_up(counts).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], schema=schema)
+        free_memory()
+
+    return texts.mapInArrow(run, "rep long, sketch binary")
+
+
+class Sketch:
+    """Sketches of documents of about the same number of shingles, to be met with others at any number of cells."""
+
+    def __init__(self, at: np.ndarray, found: list[bytes]):
+        self.at, self.n = at, np.array([len(f) // 8 for f in found])
+        self.keys = np.concatenate([np.frombuffer(f, np.uint32, n) for f, n in zip(found, self.n)])
+        self.held = [np.concatenate([np.frombuffer(f, np.float16, n, (4 + 2 * k) * n) for f, n in zip(found, self.n)]).astype(np.float64) for k in (0, 1)]
+        self.row = np.repeat(np.arange(len(found)), self.n)
+        self.sums = [np.bincount(self.row, h, len(found)) for h in self.held]
+        self.cells = cells_for(int(self.n.max()))
+
+    def dense(self, cells: int, measures: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which cells each document has, and its weights or counts in them."""
+        place = self.row * cells + (self.keys & np.uint32(cells - 1)).astype(np.int64)
+        size = (len(self.n), cells)
+        has = np.zeros(size, dtype=np.float32)
+        has.reshape(-1)[place] = 1
+        return has, [np.bincount(place, np.minimum(self.held[k], 1e30), has.size).astype(np.float32).reshape(size) for k in measures]
+
+
+def cells_for(n: int) -> int:
+    return min(CELLS, 1 << max(6, (4 * n - 1).bit_length()))
+
+
+def in_sketches(found: list[bytes]) -> list[Sketch]:
+    """``found`` by number of shingles, in parts that fit ``DENSE``."""
+    sizes = np.array([len(f) // 8 for f in found])
+    order, parts, first = np.argsort(sizes, kind="stable"), [], 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and cells_for(int(sizes[order[last]])) == cells_for(int(sizes[order[first]])) and (last - first + 1) * cells_for(int(sizes[order[first]])) <= DENSE:
+            last += 1
+        parts.append(Sketch(order[first:last], [found[i] for i in order[first:last]]))
+        first = last
+    return parts
+
+
+def may_reach(a: list[bytes], b: list[bytes], threshold: float, link_by: tuple[str, ...] = MEASURES) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``a`` and in ``b`` of all pairs of sketches that may be similar by a measure of ``link_by``."""
+    measures = [k for k, name in enumerate(MEASURES) if name in link_by]
+    left, right = [], []
+    others = in_sketches(b)
+    for x in in_sketches(a):
+        for y in others:
+            least, whole = threshold - ROUNDING, [np.add.outer(x.sums[k], y.sums[k]) for k in measures]
+            # a sum beyond half precision bounds nothing; else the smaller one must be ``threshold`` of the larger
+            if not any((~np.isfinite(w) | (np.minimum.outer(x.sums[k], y.sums[k]) * (1 + least) >= least * w)).any() for k, w in zip(measures, whole)):
+                continue
+            cells = max(x.cells, y.cells)
+            (has_x, of_x), (has_y, of_y) = x.dense(cells, measures), y.dense(cells, measures)
+            fits = np.zeros((len(x.n), len(y.n)), dtype=bool)
+            for x_in, y_in, w in zip(of_x, of_y, whole):
+                common = np.minimum(x_in @ has_y.T, has_x @ y_in.T).astype(np.float64)
+                fits |= ~np.isfinite(w) | (common * (1 + least) >= least * w)  # common / (w - common) >= least
+            i, j = np.nonzero(fits)
+            left.append(x.at[i])
+            right.append(y.at[j])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def met_in_blocks(placed: DataFrame, found: DataFrame, threshold: float, link_by: tuple[str, ...]) -> DataFrame:
+    """``(a, b)`` of ``placed(bucket, rep, component, hub, hub_component)``: what is not in the class of the bucket's hub, with all of
+    the bucket in yet another class, where the sketches ``found(rep, sketch)`` let them be similar. Blocks bound every group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_a = table.column("is_a").to_numpy()
+        a, b = table.filter(pa.array(is_a)), table.filter(pa.array(~is_a))
+        i, j = may_reach(a.column("sketch").to_pylist(), b.column("sketch").to_pylist(), threshold, link_by) if a.num_rows and b.num_rows else (np.zeros(0, dtype=np.int64),) * 2
+        of = lambda t, name, at: t.column(name).to_numpy()[at]
+        # two documents of the rest meet from both sides: one is enough
+        new = (of(a, "component", i) != of(b, "component", j)) & ~(of(b, "rest", j) & (of(a, "rep", i) > of(b, "rep", j)))
+        return pa.table({"a": pa.array(of(a, "rep", i)[new], pa.int64()), "b": pa.array(of(b, "rep", j)[new], pa.int64())})
+
+    rows = placed.withColumn("rest", F.col("component") != F.col("hub_component")).join(found, "rep").withColumn("bytes", F.octet_length("sketch"))
+    rows = cut(rows.select("bucket", "rep", "component", "hub", "rest", "bytes", "sketch"), "sketched")
+    blocks = lambda of: F.ceil(F.greatest(F.sum(of.cast("long")) / BLOCK_ROWS, F.sum(F.when(of, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
+    sizes = rows.groupBy("bucket").agg(blocks(F.col("rest")).alias("n_a"), blocks(F.col("rep") != F.col("hub")).alias("n_b")).where("n_a > 0 and n_b > 0")
+    rows = salted_join(rows, cut(sizes, "blocks"), "bucket", F.col("rep"))
+    spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block_of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    of_a = rows.where("rest").withColumn("is_a", F.lit(True)).withColumn("block_a", block_of("n_a")).withColumn("block_b", spread_over("n_b"))
+    of_b = rows.where("rep <> hub").withColumn("is_a", F.lit(False)).withColumn("block_b", block_of("n_b")).withColumn("block_a", spread_over("n_a"))
+    both = of_a.unionByName(of_b).select("bucket", "block_a", "block_b", "is_a", "rep", "component", "rest", "sketch")
+    return both.groupBy("bucket", "block_a", "block_b").applyInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float, link_by: tuple[str, ...]) -> DataFrame:
     """Those of ``pairs(a, b, parts_a, parts_b)`` whose whole texts are similar enough."""
     weighed, plain = "weighted" in link_by, "plain" in link_by
@@ -202,6 +320,7 @@ def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float, link_by:
                 if (weighed and jaccard((left[0], left[1]), (right[0], right[1])) >= threshold) or (plain and jaccard((left[0], left[2]), (right[0], right[2])) >= threshold):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        free_memory()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = texts_of(docs, ids)
@@ -227,6 +346,11 @@ def near_duplicates(
     link_by: tuple[str, ...] = MEASURES,
 ) -> DataFrame:
     """``(doc_id, class_id, kept)``, a row per document: the smallest id of its class, and whether it is that."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _classes(docs, id_col, text_col, threshold, samples, bands, small_bucket, link_by)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, samples: int, bands: int, small_bucket: int, link_by: tuple[str, ...]) -> DataFrame:
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = docs.sparkSession.sparkContext.broadcast(word_idf(plain))
     signed = cut(signatures(plain, idf, samples, bands), "signed")
@@ -235,9 +359,9 @@ def near_duplicates(
     shared = copies.where("copies > 1").select("same", "rep")
     with_rep = cut(salted_join(signed, shared, "same", F.monotonically_increasing_id(), "left").withColumn("rep", F.when(F.col("id").isNotNull() | F.col("rep").isNotNull(), F.coalesce("rep", "id"))), "represented")
     # a row with a null id has no class, but may be a copy of texts with one; of a representative's rows, one with its digest carries the bands
-    unique = with_rep.where("id = rep and bands is not null").groupBy("rep", "same").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("weight").alias("weight"))
+    unique = with_rep.where("id = rep and bands is not null").groupBy("rep", "same").agg(F.first("bands").alias("bands"))
 
-    members = unique.select("rep", "n", "weight", F.posexplode("bands").alias("band", "key")).select("rep", "n", "weight", F.xxhash64("band", "key").alias("bucket")).distinct()
+    members = unique.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket")).distinct()
     sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("in_bucket"), F.min("rep").alias("hub")).where("in_bucket > 1"), "sizes")
     members = cut(salted_join(members, sizes, "bucket", F.col("rep")), "buckets")
 
@@ -257,21 +381,14 @@ def near_duplicates(
     many = members.where(F.col("in_bucket") > small_bucket)
     if not many.isEmpty():
         found = components(links)
-        placed = many.select("bucket", "rep", "n", "weight", "hub").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = many.select("bucket", "rep", "hub").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         placed = cut(placed, "placed")
-        hubs = placed.where("rep = hub").select("bucket", F.col("component").alias("hub_component"))
+        # only buckets that still hold different classes
+        hubs = placed.groupBy("bucket").agg(F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("hub_component"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+        hubs = cut(hubs.where("_low < _high").select("bucket", "hub_component"), "hubs")
         placed = cut(salted_join(placed, hubs, "bucket", F.col("rep")), "placed")
-        rest = placed.where("component <> hub_component").select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"), F.col("weight").alias("weight_a"))
-        others = placed.where("rep <> hub").select("bucket", F.col("rep").alias("b"), "component", "n", "weight")
-        # every row of a bucket's rest meets every other row of it, spread over salts by the latter
-        others = others.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        met = rest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(others, ["bucket", "_salt"])
-        # the smaller sum over the larger one bounds either similarity; what the sums may lack by rounding is let through
-        bound = lambda c: F.least(c, f"{c}_a") >= F.greatest(c, f"{c}_a") * (threshold - 1e-6)
-        fits = F.lit(False)
-        for measure, c in (("weighted", "weight"), ("plain", "n")):
-            fits = fits | bound(c) if measure in link_by else fits
-        met = met.where((F.col("component") != F.col("component_a")) & fits).select("a", "b")
+        texts = texts_of(plain, placed.select(F.col("rep").alias("id")).distinct())
+        met = met_in_blocks(placed, cut(sketches(texts, idf), "sketches"), threshold, link_by)
         links = cut(links.unionByName(verified(parts(met), plain, idf, threshold, link_by)), "links")
     found = components(links)
     # a repeated id ties all of its texts to one class

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, if_small, packed, spread, table
+from .common import cut, fresh_path, held_by_worker, if_small, packed, spread, table
 from .kn_model import ORDER, Model, Table, different, discounts, gram_keys, slices, strings
 
 SALTS = 8
@@ -176,6 +176,8 @@ def _loaded(path: str, shard: int) -> dict[int, Model]:
     return models
 
 
+held_by_worker.append(_loaded.cache_clear)
+
 SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), ("half", pa.int32()), ("nll", pa.float64()), ("excess", pa.float64()), ("n", pa.int64()), ("odd", pa.int64()), ("odd_nll", pa.float64())])
 
 

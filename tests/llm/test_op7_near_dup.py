@@ -138,3 +138,24 @@ def test_word_hashes_are_those_of_the_words():
     found = list(words_by_text(pa.array(texts)))
     assert [len(w) for w in found] == [4, 0, 0, 1, 2, 1] and found[0][0] == found[3][0] == found[4][1]
     assert len(shingles_of(found[0])) == 1 and len(shingles_of(found[1])) == 0
+
+
+def sketched(texts):
+    """(sketches, (keys, weights, counts)) of texts, all words alike in idf."""
+    sets = [nd.weighted(w, np.linspace(0.5, 9, nd.COUNTERS)) for w in words_by_text(pa.array(texts))]
+    return [k.astype(np.uint32).tobytes() + nd.rounded_up(w).tobytes() + nd.rounded_up(c).tobytes() for k, w, c in sets], sets
+
+
+@pytest.mark.parametrize("measure", nd.MEASURES)
+def test_sketches_lose_no_pair_and_leave_few_others(measure):
+    bases = [text(n) for n in (3, 8, 90, 400, 420)]
+    texts = [edited(b, RNG.randint(0, max(1, len(b.split()) // k))) for b in bases for k in (4, 9, 12, 20, 40) for _ in range(6)]
+    texts += ["again " * 90_000, "again " * 80_000, "again " * 70_000 + "once more then", "x"]
+    found, sets = sketched(texts)
+    made = set(zip(*(x.tolist() for x in nd.may_reach(found, found, 0.8, (measure,)))))
+    column = 1 if measure == "weighted" else 2
+    alike = {(i, j): nd.jaccard((a[0], a[column]), (b[0], b[column])) for i, a in enumerate(sets) for j, b in enumerate(sets)}
+    assert {p for p, x in alike.items() if x >= 0.8} <= made
+    # the last four: sums beyond half precision bound nothing
+    unlike = [p for p, x in alike.items() if x < 0.7 and max(p) < len(texts) - 4]
+    assert len(unlike) > 8000 and sum(p in made for p in unlike) < 0.02 * len(unlike)
