@@ -159,3 +159,17 @@ def test_sketches_lose_no_pair_and_leave_few_others(measure):
     # the last four: sums beyond half precision bound nothing
     unlike = [p for p, x in alike.items() if x < 0.7 and max(p) < len(texts) - 4]
     assert len(unlike) > 8000 and sum(p in made for p in unlike) < 0.02 * len(unlike)
+
+
+def test_a_large_bucket_of_unlike_texts_verifies_few_pairs(spark, monkeypatch):
+    """Copies with many changes share bands but are below the threshold: their pairs grew with the square of the bucket."""
+    counted, whole = [], nd.verified
+    monkeypatch.setattr(nd, "verified", lambda pairs, *rest: (counted.append(pairs.count()), whole(pairs, *rest))[1])
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 16, raising=False)
+    base = text(200)
+    rows = [edited(base, 14) for _ in range(60)]
+    rows += [edited(rows[7], 1), edited(rows[9], 1), edited(edited(rows[7], 1), 1)]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(build(spark, rows), samples=16, bands=16, small_bucket=4, link_by=("plain",)).collect()}
+    assert together(got) == together(classes(rows)) and len(together(got)) > 50
+    assert len(counted) == 2 and counted[1] < 200
