@@ -31,7 +31,7 @@ Nulls and odd cases: a null text is an empty one; a text without words is only e
 the same characters; a text of fewer than five words is one shingle; documents with a null id are
 classes of their own with a null class; rows that repeat an id are versions of one document: each
 gets a row, all fall into one class, and candidates are verified on the smallest of their texts; a class's
-tie goes to the smallest id; long texts are sampled in pieces; an empty table gives an empty result; other columns are ignored.
+tie goes to the smallest id; long texts are sampled in pieces, short ones together; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ from .common import arrow_batches, components, cut, free_memory, if_small, in_bi
 from .shingles import _MIX, _STEP, mix64, shingles_of, words_by_text
 
 COUNTERS = 1 << 18
-PIECE = 1024
+PIECE = 2048
+TOGETHER = 8192  # shingles of short documents that are sampled together
+LIKELY = 5.0  # the least a is above that, over the sum of the weights, once in exp(5) times
 PAIRS_PER_TEXT = 2048
 BATCH = "4m"  # of texts in a Python worker
 BLOCK_ROWS = 1024
@@ -66,47 +68,92 @@ class Sampler:
         self.samples, self.bands = samples, bands
         self.odd = rng.integers(1 << 62, dtype=np.uint64, size=samples) * np.uint64(2) + np.uint64(1)
 
-    def variates(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), and beta ~ Uniform(0, 1), each keys x samples."""
-        first = keys[:, None] * self.odd[None, :]
-        first ^= first >> np.uint64(32)
+    @staticmethod
+    def bits(keys: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The random bits behind r and behind c."""
+        first = keys * odd
+        high = first >> np.uint64(32)
+        first ^= high
         first *= _STEP
-        first ^= first >> np.uint64(29)
+        np.right_shift(first, np.uint64(29), out=high)
+        first ^= high
         second = first * _MIX
-        second ^= second >> np.uint64(32)
-        third = second * _STEP
+        np.right_shift(second, np.uint64(32), out=high)
+        second ^= high
+        return first, second
+
+    @staticmethod
+    def scores(first: np.ndarray, second: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ln a, level) of elements with these bits and log weights: r ~ Gamma(2, 1), c ~ Gamma(2, 1) and beta ~ Uniform(0, 1)."""
 
         def gamma(bits: np.ndarray) -> np.ndarray:
             halves = bits.view(np.uint32).astype(np.float32)
             halves += np.float32(0.5)
-            product = halves[:, 0::2] * halves[:, 1::2]
+            product = halves[0::2] * halves[1::2]
             product *= np.float32(2.0**-64)
             return np.maximum(-np.log(product), np.float32(1e-7))
 
-        beta = (third >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        return gamma(first), np.log(gamma(second)), beta
+        r, log_c = gamma(first), np.log(gamma(second))
+        beta = ((second * _STEP) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        level = np.floor(logs / r + beta)
+        return log_c - r * (level - beta) - r, level
+
+    @staticmethod
+    def bounds(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """What a times the weight is never below, but for rounding, in units of 2^-64: a >= c exp(-r) / weight, and as both
+        Gammas are minus the log of a product of uniforms, exp(-r) is the one product and c at least 1 minus the other."""
+        halves = second.view(np.uint32).astype(np.float32)
+        low = halves[:, 0::2] * halves[:, 1::2]
+        low *= np.float32(-(2.0**-64))
+        low += np.float32(1)
+        halves = first.view(np.uint32).astype(np.float32)
+        low *= halves[:, 0::2]
+        low *= halves[:, 1::2]
+        return low
 
     def draw(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The band hashes of a set of ascending distinct keys with positive weights."""
-        best = np.full(self.samples, np.inf, dtype=np.float32)
-        chosen = np.zeros(self.samples, dtype=np.uint64)
+        return self.draw_all([(keys, weights)])[0]
+
+    def draw_all(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The band hashes of sets, a row for each.
+
+        A sample is the element of the least a, which is exponential with the sum of the set's weights as its rate. Where that is
+        at most ``LIKELY`` / sum, only elements whose bound is have to be looked at; the a of all are computed for the other samples."""
+        n, ends = self.samples, np.cumsum([len(k) for k, _ in sets])
+        begins = np.concatenate(([0], ends[:-1]))
+        keys, weights = (np.concatenate(x) for x in zip(*sets))
+        of = np.repeat(np.arange(len(sets)), ends - begins)
         logs = np.log(weights).astype(np.float32)
-        column = np.arange(self.samples)
+        limit = LIKELY / np.bincount(of, weights, len(sets))
+        reach = (weights * limit[of] * ((1 + ROUNDING) * 2.0**64)).astype(np.float32)[:, None]
+        best = np.full(len(sets) * n, np.inf, dtype=np.float32)
+        chosen = np.zeros(len(sets) * n, dtype=np.uint64)
+
+        def keep(row: np.ndarray, column: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+            slot = of[row] * n + column
+            score, level = self.scores(first, second, logs[row])
+            before = best[slot]
+            np.minimum.at(best, slot, score)
+            won = np.flatnonzero((score == best[slot]) & (score < before))[::-1]  # of equal ones the first, written last
+            chosen[slot[won]] = mix64(keys[row[won]] ^ (level[won].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
         for at in range(0, len(keys), PIECE):
-            key = keys[at : at + PIECE]
-            r, log_c, beta = self.variates(key)
-            level = np.floor(logs[at : at + PIECE, None] / r + beta)
-            score = log_c - r * (level - beta) - r
-            low = score.argmin(axis=0)
-            found = score[low, column]
-            better = found < best
-            best[better] = found[better]
-            sample = mix64(key[low] ^ (level[low, column].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            chosen[better] = sample[better]
-        width = self.samples // self.bands
-        total = np.zeros(self.bands, dtype=np.uint64)
+            first, second = self.bits(keys[at : at + PIECE, None], self.odd[None, :])
+            place = np.flatnonzero(self.bounds(first, second) <= reach[at : at + PIECE])
+            keep(at + place // n, place % n, first.reshape(-1)[place], second.reshape(-1)[place])
+        left = np.flatnonzero(~(best <= np.repeat(np.log(limit), n)))
+        for at in range(0, len(keys) if len(left) else 0, PIECE):
+            low, high = np.maximum(begins[left // n], at), np.minimum(ends[left // n], at + PIECE)
+            there = np.maximum(high - low, 0)
+            row = np.arange(there.sum()) + np.repeat(low - np.cumsum(there) + there, there)
+            column = np.repeat(left % n, there)
+            keep(row, column, *self.bits(keys[row], self.odd[column]))
+        width = n // self.bands
+        chosen = chosen.reshape(len(sets), self.bands, width)
+        total = np.zeros((len(sets), self.bands), dtype=np.uint64)
         for i in range(width):
-            total = mix64(total * np.uint64(31) + chosen.reshape(self.bands, width)[:, i])
+            total = mix64(total * np.uint64(31) + chosen[:, :, i])
         return total
 
 
@@ -160,16 +207,20 @@ def signatures(docs: DataFrame, idf, samples: int, bands: int) -> DataFrame:
         sampler, table = Sampler(samples, bands), idf.value
         schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            same, found = [], []
+            same, found, sets, held = [], [None] * batch.num_rows, {}, 0
             texts = batch.column("text")
             for i, words in enumerate(words_by_text(texts)):
                 if len(words):
                     same.append(xxhash.xxh3_128_digest(words.tobytes()))
                     keys, weights, _ = weighted(words, table)
-                    found.append(sampler.draw(keys, weights).astype(np.int64))
+                    sets[i] = (keys, weights)
+                    held += len(keys)
                 else:
                     same.append(xxhash.xxh3_128_digest(texts[i].as_py().encode("utf-8", "surrogatepass"), seed=1))
-                    found.append(None)
+                if sets and (held >= TOGETHER or i == batch.num_rows - 1):
+                    for at, drawn in zip(sets, sampler.draw_all(list(sets.values())).astype(np.int64)):
+                        found[at] = drawn
+                    sets, held = {}, 0
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
         free_memory()
 

@@ -173,3 +173,43 @@ def test_a_large_bucket_of_unlike_texts_verifies_few_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(build(spark, rows), samples=16, bands=16, small_bucket=4, link_by=("plain",)).collect()}
     assert together(got) == together(classes(rows)) and len(together(got)) > 50
     assert len(counted) == 2 and counted[1] < 200
+
+
+def plain_samples(sampler, keys, weights):
+    """(key, level) of every sample, with a computed for every element as improved consistent weighted sampling defines it."""
+    first = keys[:, None] * sampler.odd[None, :]
+    first ^= first >> np.uint64(32)
+    first *= nd._STEP
+    first ^= first >> np.uint64(29)
+    second = first * nd._MIX
+    second ^= second >> np.uint64(32)
+    uniform = lambda half: (half.astype(np.float64) + 0.5) * 2.0**-32
+    low, high = np.uint64((1 << 32) - 1), np.uint64(32)
+    r, c = (-np.log(uniform(x & low) * uniform(x >> high)) for x in (first, second))
+    beta = ((second * nd._STEP) >> np.uint64(40)).astype(np.float64) * 2.0**-24
+    level = np.floor(np.log(weights)[:, None] / r + beta)
+    ln_a = np.log(c) - r * (level - beta) - r
+    at = ln_a.argmin(axis=0)
+    return keys[at], level[at, np.arange(sampler.samples)]
+
+
+def test_samples_are_those_of_all_elements_though_few_are_computed(monkeypatch):
+    """Before, a was computed for each element and sample, most of the time of the whole operator."""
+    monkeypatch.setattr(nd, "PIECE", 256)
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 2, 7, 300, 1, 5000, 40, 900):
+        weights = rng.uniform(0.7, 12, n) * rng.integers(1, 4, n)
+        weights[rng.random(n) < 0.01] *= 1e5  # repeated lines
+        sets.append((np.sort(rng.integers(1 << 62, size=n).astype(np.uint64)), weights))
+    sampler, computed = nd.Sampler(64, 64), []
+    whole = nd.Sampler.scores
+    monkeypatch.setattr(nd.Sampler, "scores", staticmethod(lambda first, *rest: (computed.append(first.size), whole(first, *rest))[1]))
+    got = sampler.draw_all(sets)
+    assert sum(computed) < 0.2 * 64 * sum(len(k) for k, _ in sets)
+    differ = 0
+    for (keys, weights), drawn in zip(sets, got):
+        key, level = plain_samples(sampler, keys, weights)
+        differ += (drawn != nd.mix64(nd.mix64(key ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))).sum()
+        assert (sampler.draw(keys, weights) == drawn).all()
+    assert differ <= 2  # single precision at a tie
