@@ -12,6 +12,7 @@ from .functions.scoring import METHODS
 from .operators.retrieve import collected
 from .retriever import Retriever
 from .sources import index_store, jsonl
+from .sources.shared import cut, if_small
 
 DOC_IDS = "doc_ids"
 
@@ -37,10 +38,9 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _index(spark: SparkSession, args: argparse.Namespace) -> None:
-    corpus = jsonl.read_corpus(spark, args.corpus, tuple(args.text_fields.split(","))).persist()
+    corpus = jsonl.read_corpus(spark, args.corpus, tuple(args.text_fields.split(",")))
     Retriever(args.k1, args.b, args.delta, args.method).index(corpus).save(args.out)
     corpus.select("doc_id", "_id").write.mode("overwrite").parquet(f"{args.out}/{DOC_IDS}")
-    corpus.unpersist()
 
 
 def _query(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -49,7 +49,7 @@ def _query(spark: SparkSession, args: argparse.Namespace) -> None:
         raise FileNotFoundError(f"{args.index}/{DOC_IDS}")
     names = spark.read.parquet(f"{args.index}/{DOC_IDS}").withColumnRenamed("_id", "name")
     queries = jsonl.read_queries(spark, args.queries)
-    hits = retriever.retrieve(queries, args.k, padded=args.padded)
+    hits = if_small(cut(retriever.retrieve(queries, args.k, padded=args.padded), "hits"))
     named = hits.join(names, "doc_id").select("query_id", "rank", F.col("name").alias("doc_id"), "score")
     jsonl.write_results(collected(named, queries).join(queries.select("query_id", "_id"), "query_id"), args.out)
 

@@ -19,10 +19,10 @@ from .catalogue import VOCAB, corpus, register, table
 
 
 def lines_of(spark, sf_dir: str, name: str, id_col: str) -> str:
-    """A table as one file of JSON lines ``{"_id", "title", "text"}`` in the order of ids."""
+    """A table as a folder of JSON lines ``{"_id", "title", "text"}``, in the order of ids by file name and line."""
     path = shared_path(spark, name)
     rows = table(spark, sf_dir, name).select(F.col(id_col).cast("string").alias("_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(id_col).alias("_n"))
-    rows.repartition(1).sortWithinPartitions("_n").select("_id", F.concat(F.lit("t"), "_id").alias("title"), "text").write.json(path)
+    rows.repartitionByRange("_n").sortWithinPartitions("_n").select("_id", F.concat(F.lit("t"), "_id").alias("title"), "text").write.json(path)
     return path
 
 

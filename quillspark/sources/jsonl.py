@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut, with_ordinals
+
 CORRUPT = "_corrupt_record"
+PLACE = ("_file", "_start", "_at")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,50 +25,47 @@ def strip(text: Column) -> Column:
 
 
 def _scan(spark: SparkSession, path: str, fields: Iterable[str]) -> DataFrame:
-    """One row per non-blank line, in file order by ``_ordinal``. A line that is no JSON raises with its number."""
+    """One row per non-blank line; lines are in file order by ``PLACE`` (Spark does not read files in the order of their
+    names, but a split of a file lies in one task). ``_at`` has no gaps in a split, ``_line`` counts blank lines too."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields] + [T.StructField(CORRUPT, T.StringType())])
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_ordinal"))
-    parsed = lines.where(F.trim("value") != "").withColumn("_row", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    return parsed.select("_file", "_ordinal", "value", "_row.*")
+    lines = _lines(spark, path).where(F.trim("value") != "").withColumn("_at", F.monotonically_increasing_id())
+    parsed = lines.withColumn("_row", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    return parsed.select(*PLACE, "_line", "_row.*")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    read = spark.read.text(path)
+    return read.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
 
 
 def _checked(rows: DataFrame, path: str, required: Iterable[str]) -> DataFrame:
-    bad = rows.where(F.col(CORRUPT).isNotNull()).orderBy("_ordinal").select("_ordinal", CORRUPT).first()
+    bad = rows.where(F.col(CORRUPT).isNotNull()).orderBy(*PLACE).select(*PLACE, "_line", CORRUPT).first()
     if bad is not None:
         try:
             json.loads(bad[CORRUPT])
         except ValueError as error:
-            raise ValueError(f"{path}:{_line_number(rows.sparkSession, path, bad['_ordinal'])}: {error}") from None
-        raise ValueError(f"{path}:{_line_number(rows.sparkSession, path, bad['_ordinal'])}: not an object of strings")
+            raise ValueError(f"{path}:{_line_number(rows.sparkSession, path, bad)}: {error}") from None
+        raise ValueError(f"{path}:{_line_number(rows.sparkSession, path, bad)}: not an object of strings")
     for field in required:
         if not rows.where(F.col(field).isNull()).isEmpty():
             raise ValueError(f"{path}: a record lacks {field!r}")
     return rows
 
 
-def _line_number(spark: SparkSession, path: str, ordinal: int) -> int:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("o")).where(F.col("o") <= ordinal).count()
-
-
-def with_ordinals(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense ids from 0 in the order of ``order``, numbers from monotonically_increasing_id: the rows before in the split,
-    and the sizes of the splits before, which are all that is added up in one task."""
-    split = rows.withColumn("_split", F.shiftright(order, 33))
-    sizes = split.groupBy("_split").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_split", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_split").orderBy(order)) - 1
-    return split.join(sizes, "_split").withColumn(name, (F.col("_base") + nth).cast("long")).select(name, *rows.columns)
+def _line_number(spark: SparkSession, path: str, bad: Row) -> int:
+    place, at = ("_file", "_start", "_line"), ("string", "long", "long")
+    return _lines(spark, path).where(F.struct(*place) <= F.struct(*(F.lit(bad[c]).cast(t).alias(c) for c, t in zip(place, at)))).count()
 
 
 def read_records(spark: SparkSession, path: str, *, text_fields: tuple[str, ...] = ("text",), ordinal: str = "doc_id") -> DataFrame:
-    """``(ordinal, _id, text)``; several ``text_fields`` are joined by a space, missing ones left out."""
+    """``(ordinal, _id, text)``; several ``text_fields`` are joined by a space, missing ones left out. The parsed lines are
+    cut, and each line's number is its place in its split and the sizes of the splits before: no text is shuffled."""
     fields = ["_id", *dict.fromkeys(text_fields)]
-    rows = _checked(_scan(spark, path, fields), path, ["_id", "text"] if text_fields == ("text",) else ["_id"])
+    rows = _checked(cut(_scan(spark, path, fields), "records"), path, ["_id", "text"] if text_fields == ("text",) else ["_id"])
     text = F.col("text") if text_fields == ("text",) else strip(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in text_fields)))
-    return with_ordinals(rows.select("_ordinal", "_id", text.alias("text")), "_ordinal", ordinal).drop("_ordinal")
+    return with_ordinals(rows, ["_file", "_start"], "_at", ordinal).select(ordinal, "_id", text.alias("text"))
 
 
 def read_corpus(spark: SparkSession, path: str, text_fields: tuple[str, ...] = ("text",)) -> DataFrame:
