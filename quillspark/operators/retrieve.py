@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import if_small
+from ..sources.shared import cut, fits, if_small
 from .index import Index, Stemmer, stemmed
 
 DIGITS = 6
@@ -17,24 +19,45 @@ def query_terms(tokens: DataFrame, stemmer: Stemmer = None) -> DataFrame:
     return stemmed(counts, stemmer, ["query_id"])
 
 
-def accumulate(postings: DataFrame, terms: DataFrame, key: str = "token") -> DataFrame:
-    """``(query_id, doc_id, score)``: the sum over the query's terms, repeats included."""
-    joined = postings.join(terms.select("query_id", key, F.col("tf").alias("qtf")), key)
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * F.col("qtf")).alias("score"))
+#: Scores that one task adds up.
+PAIRS = 1_000_000
+
+
+def accumulate(postings: DataFrame, terms: DataFrame, key: str = "token", n_docs: int | None = None) -> DataFrame:
+    """``(query_id, doc_id, score)``: the sum over the query's terms, repeats included.
+
+    If the queries can be broadcast, postings of their terms go to tasks by document before they meet the queries, each of
+    which multiplies them: a document's scores are then added up where they are made."""
+    terms = terms.select("query_id", key, F.col("tf").alias("qtf"))
+    rows = postings.select(key, "doc_id", "score")
+    if fits(terms):
+        rows = rows.join(F.broadcast(terms.select(key).distinct()), key, "left_semi")
+        rows = rows.repartition("doc_id") if n_docs is None else rows.repartition(_parts(terms, n_docs), "doc_id")
+        terms = F.broadcast(terms)
+    return rows.join(terms, key).groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * F.col("qtf")).alias("score"))
+
+
+def _parts(terms: DataFrame, n_docs: int) -> int:
+    n_queries = terms.agg(F.count_distinct("query_id")).first()[0]
+    return min(MOST_PARTS, max(terms.sparkSession.sparkContext.defaultParallelism, math.ceil(n_docs * n_queries / PAIRS)))
+
+
+MOST_PARTS = 4_000
 
 
 def offsets(terms: DataFrame, index: Index) -> DataFrame:
     """``(query_id, offset)``: what every document scores for the query's terms if it has none of them."""
-    known = terms.join(index.terms.select("token", "nonoccurrence"), "token")
+    known = index.terms.select("token", "nonoccurrence").join(if_small(terms), "token")
     return known.groupBy("query_id").agg(F.sum(F.col("tf") * F.coalesce("nonoccurrence", F.lit(0.0))).alias("offset"))
 
 
 def score(index: Index, terms: DataFrame, *, add_offset: bool = True) -> DataFrame:
     """``(query_id, doc_id, score)`` of documents with at least one of the query's terms; unknown terms drop out."""
-    scores = accumulate(index.postings, if_small(terms))
+    scores = accumulate(index.postings, terms, n_docs=index.n_docs)
     if not (add_offset and index.config.shifted):
         return scores
-    return scores.join(offsets(terms, index), "query_id").select("query_id", "doc_id", (F.col("score") + F.col("offset")).alias("score"))
+    found = if_small(cut(offsets(terms, index), "offsets"))
+    return scores.join(found, "query_id").select("query_id", "doc_id", (F.col("score") + F.col("offset")).alias("score"))
 
 
 def add_priors(priors: DataFrame, scores: DataFrame) -> DataFrame:
@@ -124,9 +147,10 @@ def to_int32(column: Column) -> Column:
     return column.cast("int")
 
 
-def score_matrix(matrix: DataFrame, query_ids: DataFrame, n_vocab: int) -> DataFrame:
-    """``(query_id, doc_id, score)`` from ``matrix(token_id, doc_id, score)`` and id queries; float32 matrices only."""
+def score_matrix(matrix: DataFrame, query_ids: DataFrame, n_vocab: int, n_docs: int | None = None) -> DataFrame:
+    """``(query_id, doc_id, score)`` from ``matrix(token_id, doc_id, score)`` and id queries; float32 matrices only.
+    With ``n_docs``, the number of documents, tasks are made for so many."""
     if dict(matrix.dtypes)["score"] != "float":
         raise ValueError("the score matrix must hold 32-bit floats")
     terms = check_ids(query_ids, n_vocab).groupBy("query_id", "token_id").agg(F.count("*").alias("tf"))
-    return accumulate(matrix, if_small(terms), "token_id").withColumn("score", F.col("score").cast("float"))
+    return accumulate(matrix, terms, "token_id", n_docs).withColumn("score", F.col("score").cast("float"))

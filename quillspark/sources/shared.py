@@ -29,13 +29,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, a cut or cheap table of strings and numbers, to be broadcast if its strings and 16 bytes a column fit ``most``."""
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the strings of ``df``, a cut or cheap table of strings and numbers, and 16 bytes a column are at most ``most``."""
     size = F.lit(16 * len(df.columns))
     for name, kind in df.dtypes:
         if kind == "string":
             size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= most else df
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= most
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, to be broadcast if it ``fits``."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def in_all_cores(df: DataFrame) -> DataFrame:
