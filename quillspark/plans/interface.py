@@ -13,7 +13,7 @@ from ..operators import retrieve as rt
 from ..operators.vocab import build_vocab, encode, id_to_token
 from ..retriever import Retriever
 from ..sources import binary, index_store, jsonl
-from ..sources.shared import shared_path
+from ..sources.shared import cut, if_small, shared_path
 from . import oracles as sql
 from .catalogue import VOCAB, corpus, register, table
 
@@ -101,13 +101,16 @@ def ids_and_tokens(spark, sf_dir):
     SELECT query_id, doc_id, sum(tf * qtf)::FLOAT AS score FROM q JOIN tf USING (token) GROUP BY ALL""",
 )
 def id_queries_on_a_matrix(spark, sf_dir):
-    """Queries of token ids on a 32-bit matrix of term frequencies; unknown tokens have no id and drop out."""
+    """Queries of token ids on a 32-bit matrix of term frequencies; unknown tokens have no id and drop out. The matrix has
+    the columns of the queries' tokens, the only ones that are asked for."""
     tokens = corpus(spark, sf_dir)
     vocab = build_vocab(tokens)
-    matrix = ix.term_frequencies(tokens).join(vocab, "token").select("token_id", "doc_id", F.col("tf").cast("float").alias("score"))
     items = ix.tokens_of(table(spark, sf_dir, "benchmark"), id_col="item_id")
-    ids = encode(items, vocab).where("token_id >= 0").select(F.col("doc_id").alias("query_id"), rt.to_int32(F.col("token_id")).alias("token_id"))
-    return rt.score_matrix(matrix, ids, vocab.count())
+    known = cut(encode(items, vocab).where("token_id >= 0"), "ids")
+    ids = known.select(F.col("doc_id").alias("query_id"), rt.to_int32(F.col("token_id")).alias("token_id"))
+    columns = cut(known.select("token", "token_id").distinct(), "columns")
+    matrix = ix.term_frequencies(tokens, only=columns).join(if_small(columns), "token").select("token_id", "doc_id", F.col("tf").cast("float").alias("score"))
+    return rt.score_matrix(matrix, ids, vocab.count(), tokens.count())
 
 
 @register("own_stemmer", f"WITH {sql.corpus()}, {sql.raw_terms()} SELECT doc_id, left(token, 4) AS token, sum(tf)::BIGINT AS tf FROM tf GROUP BY ALL")
