@@ -55,14 +55,15 @@ def stemmer_name(stemmer) -> str:
 
 
 def save_index(index: Index, path: str, **extras) -> None:
-    """Postings are sorted by term, so that a query's terms prune row groups. The meta file is written last; only
+    """A term's postings are in one file, sorted by term, so that a query's terms prune pages. They are parted as the index
+    parts them if it joined its terms by shuffle, and so are shuffled once. The meta file is written last; only
     then is the staging folder renamed over an older index."""
     spark = index.postings.sparkSession
     staging = f"{path.rstrip('/')}.tmp"
     system, target = _hadoop(spark, path)
     _, temporary = _hadoop(spark, staging)
     system.delete(temporary, True)
-    index.postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{staging}/postings")
+    index.postings.repartition("token").sortWithinPartitions("token", "doc_id").write.parquet(f"{staging}/postings")
     terms = index.terms if index.config.shifted else index.terms.withColumn("nonoccurrence", F.lit(None).cast("double"))
     terms.write.parquet(f"{staging}/terms")
     index.docs.write.parquet(f"{staging}/docs")
