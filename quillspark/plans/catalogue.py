@@ -48,10 +48,14 @@ def benchmark_terms(spark: SparkSession, sf_dir: str, stemmer: ix.Stemmer = None
     return rt.query_terms(items, stemmer)
 
 
+def index_for(spark: SparkSession, sf_dir: str, terms: DataFrame, config: ix.Config = ix.Config(), stemmer: ix.Stemmer = None) -> tuple[ix.Index, DataFrame]:
+    """An index of all documents that holds the terms of the queries, which are all that is asked of it, and the cut terms."""
+    terms = cut(terms, "query-terms")
+    return ix.build_index(corpus(spark, sf_dir), config, stemmer, only=terms), terms
+
+
 def search(spark: SparkSession, sf_dir: str, config: ix.Config = ix.Config(), k: int = 10, stemmer: ix.Stemmer = None) -> DataFrame:
-    terms = cut(benchmark_terms(spark, sf_dir, stemmer), "query-terms")
-    index = ix.build_index(corpus(spark, sf_dir), config, stemmer, only=terms)
-    return rt.top_k(rt.score(index, terms), k, rt.DIGITS)
+    return rt.top_k(rt.score(*index_for(spark, sf_dir, benchmark_terms(spark, sf_dir, stemmer), config, stemmer)), k, rt.DIGITS)
 
 
 # tokenising
@@ -192,8 +196,7 @@ for _method in METHODS:
 
 @register("score_accumulate", f"{sql.hits('lucene')} SELECT query_id, doc_id, score FROM scores")
 def score_accumulate(spark, sf_dir):
-    index = ix.build_index(corpus(spark, sf_dir))
-    return rt.score(index, benchmark_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return rt.score(*index_for(spark, sf_dir, benchmark_terms(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 ONE_QUERY = "qraw AS (SELECT 0 AS query_id, unnest({}) AS token FROM (SELECT string_agg(text, ' ' ORDER BY item_id) AS text FROM benchmark)), q AS (SELECT query_id, token, count(*) AS tf FROM qraw GROUP BY ALL)".format(sql.tokens("text"))
@@ -210,7 +213,7 @@ def one_query(spark, sf_dir) -> DataFrame:
     f"{sql.hits('lucene', queries=ONE_QUERY)} SELECT d.doc_id, round(d.n_chars / 1000.0::DOUBLE + coalesce(s.score, 0), 6) AS score FROM documents d LEFT JOIN scores s USING (doc_id)",
 )
 def score_into_priors(spark, sf_dir):
-    scores = rt.score(ix.build_index(corpus(spark, sf_dir)), one_query(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    scores = rt.score(*index_for(spark, sf_dir, one_query(spark, sf_dir))).withColumn("score", F.round("score", 6))
     priors = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 1000).alias("prior"))
     return rt.add_priors(priors, scores).withColumn("score", F.round("score", 6))
 
@@ -222,7 +225,7 @@ def score_into_priors(spark, sf_dir):
     SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM v) WHERE rank <= 10""",
 )
 def score_weight_mask(spark, sf_dir):
-    scores = rt.score(ix.build_index(corpus(spark, sf_dir)), benchmark_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    scores = rt.score(*index_for(spark, sf_dir, benchmark_terms(spark, sf_dir))).withColumn("score", F.round("score", 6))
     weights = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1.0).alias("weight"))
     return rt.top_k(rt.weigh(scores, weights), 10, rt.DIGITS)
 
@@ -232,7 +235,7 @@ def score_weight_mask(spark, sf_dir):
 
 @register("topk_global", f"{sql.hits('lucene', queries=ONE_QUERY)} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 25")
 def topk_global(spark, sf_dir):
-    scores = rt.score(ix.build_index(corpus(spark, sf_dir)), one_query(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
+    scores = rt.score(*index_for(spark, sf_dir, one_query(spark, sf_dir))).select("doc_id", F.round("score", 6).alias("score"))
     return rt.top_k_global(scores, 25)
 
 
@@ -247,7 +250,7 @@ TWICE = "qraw AS (SELECT item_id AS query_id, unnest({}) AS token FROM benchmark
 @register("retrieve_duplicate_terms", sql.top_k("lucene", queries=TWICE))
 def retrieve_duplicate_terms(spark, sf_dir):
     doubled = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenise(F.concat_ws(" ", "text", "text")).alias("tokens"))
-    return rt.top_k(rt.score(ix.build_index(corpus(spark, sf_dir)), rt.query_terms(doubled)), 10, rt.DIGITS)
+    return rt.top_k(rt.score(*index_for(spark, sf_dir, rt.query_terms(doubled))), 10, rt.DIGITS)
 
 
 UNKNOWN = "q AS (SELECT item_id AS query_id, 'zzqx' || item_id AS token, 1 AS tf FROM benchmark)"
@@ -257,7 +260,7 @@ UNKNOWN = "q AS (SELECT item_id AS query_id, 'zzqx' || item_id AS token, 1 AS tf
 def retrieve_oov_only(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     terms = items.select("query_id", F.concat(F.lit("zzqx"), F.col("query_id").cast("string")).alias("token"), F.lit(1).cast("long").alias("tf"))
-    hits = rt.score(ix.build_index(corpus(spark, sf_dir)), terms)
+    hits = rt.score(*index_for(spark, sf_dir, terms))
     return items.join(hits, "query_id", "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -279,7 +282,7 @@ def rare_terms(spark, sf_dir) -> DataFrame:
     SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY missing, CASE WHEN missing THEN 0 ELSE -score END, doc_id) AS rank, doc_id, score FROM best) WHERE rank <= 20""",
 )
 def retrieve_fill(spark, sf_dir):
-    index, terms = ix.build_index(corpus(spark, sf_dir), ix.Config(method="bm25+")), rare_terms(spark, sf_dir)
+    index, terms = index_for(spark, sf_dir, rare_terms(spark, sf_dir), ix.Config(method="bm25+"))
     hits = rt.top_k(rt.score(index, terms), 20, rt.DIGITS)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     return rt.filled(hits, items, index.docs, 20, rt.offsets(terms, index))
@@ -291,7 +294,7 @@ def retrieve_fill(spark, sf_dir):
     SELECT query_id, rank, coalesce(doc_id, 0) AS doc_id, coalesce(score, 0.0) AS score FROM grid LEFT JOIN ranked USING (query_id, rank)""",
 )
 def retrieve_padded(spark, sf_dir):
-    hits = rt.top_k(rt.score(ix.build_index(corpus(spark, sf_dir)), rare_terms(spark, sf_dir)), 12, rt.DIGITS)
+    hits = rt.top_k(rt.score(*index_for(spark, sf_dir, rare_terms(spark, sf_dir))), 12, rt.DIGITS)
     return rt.padded(hits, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), 12)
 
 
